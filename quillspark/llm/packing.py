@@ -11,42 +11,99 @@ documents stay null. An empty table gives an empty result; other columns are ign
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Iterator
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import map_rows
 
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, bucket int"
-#: Words whose ids a worker remembers before it starts anew.
-WORDS_KEPT = 400_000
+#: Words, and lower-cased runs of letters, whose ids a worker remembers; the half seen longest ago goes first.
+WORDS_KEPT, RUNS_KEPT = 400_000, 700_000
+#: Letters that the normalizer composes and lower-cases as Python does, then marks: two pre-tokens at most.
+SIMPLE = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,;:!?*%#$&)\]}\"-]*)")
 _encoders: dict[str, "WordEncoder"] = {}
 
 
+class Recent(dict):
+    """A dictionary that moves on: what was not asked for since it was half full is forgotten when it is full."""
+
+    def __init__(self, most: int):
+        self.half, self.old = most // 2, {}
+
+    def __missing__(self, key):
+        value = self[key] = self.old[key]
+        return value
+
+    def age(self) -> None:
+        if len(self) > self.half:
+            self.old = dict(self)
+            self.clear()
+
+    def lacks(self, key) -> bool:
+        return key not in self and key not in self.old
+
+
 class WordEncoder:
     """Ids of whole texts, as little-endian unsigned 32-bit bytes, found word by word.
 
     The vocabulary's pre-tokenizer never matches across U+0020, its normalizer maps U+000A to U+0020 and
-    composes nothing with it, so the ids of a text are those of its words, one after the other.
+    composes nothing with it, so the ids of a text are those of its words, one after the other. A word of
+    letters and then marks is two pre-tokens; runs of letters are encoded many at a time, as one text that is
+    cut again after each id that ends a pre-token.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        self.tokenizer, self.words, self.runs = Tokenizer.from_file(path), Recent(WORDS_KEPT), Recent(RUNS_KEPT)
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+
+    def plain(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def learn_runs(self, runs: list[str]) -> None:
+        for at in range(0, len(runs), 2048):
+            part = runs[at : at + 2048]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            cuts = np.flatnonzero(self.ends[ids]) + 1
+            if len(cuts) == len(part):
+                whole = ids.tobytes()
+                begin = 0
+                for run, end in zip(part, (cuts * 4).tolist(), strict=True):
+                    self.runs[run] = whole[begin:end]
+                    begin = end
+            else:
+                for run in part:
+                    self.runs[run] = self.plain(run)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         cut = [t.replace("\n", " ").split(" ") for t in texts]
-        if len(self.known) > WORDS_KEPT:
-            self.known.clear()
-        new = list(set().union(*cut) - self.known.keys())
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            for word, got in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.known[word] = b"".join([i.to_bytes(4, "little") for i in got.ids])
-        find = self.known.__getitem__
+        self.words.age()
+        self.runs.age()
+        known, old = self.words, self.words.old
+        new, simple = set().union(*cut) - known.keys(), []
+        for word in new:
+            if word in old:
+                known[word] = old[word]
+            elif m := SIMPLE.fullmatch(word):
+                simple.append((word, m[1].lower(), m[2]))
+            else:
+                known[word] = self.plain(word) if word else b""
+        lacks = self.runs.lacks
+        self.learn_runs(list({run for _, run, _ in simple if lacks(run)}))
+        for mark in {mark for _, _, mark in simple if mark and lacks(mark)}:
+            self.runs[mark] = self.plain(mark)
+        runs = self.runs
+        for word, run, mark in simple:
+            known[word] = runs[run] + runs[mark] if mark else runs[run]
+        find = known.__getitem__
         return [b"".join(map(find, c)) for c in cut]
 
 
