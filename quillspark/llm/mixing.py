@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, map_rows
 
-BLOCK, CHUNK, RANGE_ROWS, PHI = 256, 4096, 20_000, 0.6180339887498949
+BLOCK, CHUNK, RANGE_ROWS, PHI = 256, 4096, 1000, 0.6180339887498949
 WORDS = r"[^\x20\x09-\x0D]+"
 
 
