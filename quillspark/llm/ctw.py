@@ -26,12 +26,12 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, as_bytes, crc_mod, words
 
-DEPTH, CHUNK_BYTES, END = 4, 8 << 20, b"\xff"
+DEPTH, CHUNK_BYTES, PART_BYTES, END = 4, 32 << 20, 4 << 20, b"\xff"
 CHUNKS = pa.schema([("chunk", pa.int64()), ("kind", pa.int32()), ("gram", pa.int64()), ("token", pa.binary()), ("n", pa.int64()), ("blob", pa.binary())])
 DOCS, GRAM, TOKEN = 0, 1, 2
 
@@ -52,19 +52,34 @@ def grams(texts: list[bytes], depth: int = DEPTH) -> tuple[np.ndarray, np.ndarra
     return code[keep], np.concatenate([[0], np.cumsum(n)[:-1]])
 
 
+def parts(docs: list[tuple]) -> Iterator[list[tuple]]:
+    """Runs of (doc_id, held, text) of about PART_BYTES, so that work on n-grams needs little memory at a time."""
+    part, size = [], 0
+    for d in docs:
+        part.append(d)
+        size += len(d[2]) + DEPTH + 1
+        if size >= PART_BYTES:
+            yield part
+            part, size = [], 0
+    if part:
+        yield part
+
+
 def chunk_rows(number: int, docs: list[tuple]) -> Iterator[pa.RecordBatch]:
     """Everything that one chunk of (doc_id, held, text) sends on."""
-    texts = [t for _, _, t in docs]
-    held = np.array([h for _, h, _ in docs], np.int64)
-    code, starts = grams(texts)
-    flagged, count = np.unique(code * 2 + np.repeat(held, np.diff(np.append(starts, len(code)))), return_counts=True)
-    del code
+    found = []
+    for part in parts(docs):
+        code, starts = grams([t for _, _, t in part])
+        held = np.array([h for _, h, _ in part], np.int64)
+        found.append(np.unique(code * 2 + np.repeat(held, np.diff(np.append(starts, len(code)))), return_counts=True))
+    flagged, place = np.unique(np.concatenate([f for f, _ in found]), return_inverse=True)
+    count = np.bincount(place, np.concatenate([c for _, c in found]), len(flagged)).astype(np.int64)
     gram, first = np.unique(flagged >> 1, return_index=True)
     trained = np.add.reduceat(np.where(flagged & 1, 0, count), first)
     seen, only_held = Counter(), set()
-    for (_, h, _), t in zip(docs, texts, strict=True):
+    for _, h, t in docs:
         (only_held if h else seen).update(words(t))
-    seen[b""] = int(len(held) - held.sum())
+    seen[b""] = sum(not h for _, h, _ in docs)
     tokens = [*seen, *(only_held - seen.keys())]
     counts = [seen.get(t, 0) for t in tokens]
 
@@ -204,10 +219,12 @@ def score_texts(docs: DataFrame, *, folds: int = 10) -> DataFrame:
     summed = scratch.keep(chunk_grams.groupBy("gram").agg(F.sum("n").alias("n")), "grams")
     values = scratch.keep(log_probabilities(summed), "values")
     scratch.forget("grams")
-    counts = scratch.keep(chunk_tokens.groupBy("token").agg(F.sum("n").alias("c")), "tokens")
-    total = counts.where("c > 0").agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
+    # a word has at most one row per chunk: its sum is found where its rows meet, in one shuffle
+    same = Window.partitionBy("token")
+    counts = scratch.keep(chunk_tokens.select("chunk", "token", "n", F.sum("n").over(same).alias("c"), (F.min("chunk").over(same) == F.col("chunk")).alias("head")), "tokens")
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.when(F.col("head") & (F.col("c") > 0), 1)).alias("v")).first()
     train_tokens, distinct = int(total["n"]), int(total["v"])
-    told = chunk_grams.join(values, "gram").select("chunk", "gram", F.lit(None).cast("binary").alias("token"), "value").unionByName(chunk_tokens.join(counts, "token").select("chunk", F.lit(None).cast("long").alias("gram"), "token", F.col("c").cast("double").alias("value")))
+    told = chunk_grams.join(values, "gram").select("chunk", "gram", F.lit(None).cast("binary").alias("token"), "value").unionByName(counts.select("chunk", F.lit(None).cast("long").alias("gram"), "token", F.col("c").cast("double").alias("value")))
     floor = np.log10(train_tokens + 0.1 * (distinct + 1))
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -220,10 +237,12 @@ def score_texts(docs: DataFrame, *, folds: int = 10) -> DataFrame:
         keys, logs = keys[order], value[is_gram][order]
         base = dict(zip(token.drop_null().to_pylist(), (np.log10(value[~is_gram] + 0.1) - floor).tolist(), strict=True))
         unknown = float(np.log10(0.1) - floor)
-        code, starts = grams([t for _, _, t in rows])
-        scores = np.add.reduceat(logs[np.searchsorted(keys, code)], starts)
+        scores = []
+        for part in parts(rows):
+            code, starts = grams([t for _, _, t in part])
+            scores += np.add.reduceat(logs[np.searchsorted(keys, code)], starts).tolist()
         out = {n: [] for n in ("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "n_bytes")}
-        for (doc_id, held, text), s in zip(rows, scores.tolist(), strict=True):
+        for (doc_id, held, text), s in zip(rows, scores, strict=True):
             got = [base[w] for w in words(text)]
             got.append(base[b""])
             known = len(got) - got.count(unknown)
