@@ -22,29 +22,30 @@ from .common import map_rows
 
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, bucket int"
 #: Words, and lower-cased runs of letters, whose ids a worker remembers; the half seen longest ago goes first.
-WORDS_KEPT, RUNS_KEPT = 400_000, 700_000
+WORDS_KEPT, RUNS_KEPT = 1_000_000, 700_000
 #: Letters that the normalizer composes and lower-cases as Python does, then marks: two pre-tokens at most.
-SIMPLE = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,;:!?*%#$&)\]}\"-]*)")
+LETTERS, MARKS = re.compile(r"[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+"), ".,;:!?*%#$&)]}\"-"
 _encoders: dict[str, "WordEncoder"] = {}
 
 
-class Recent(dict):
-    """A dictionary that moves on: what was not asked for since it was half full is forgotten when it is full."""
+class Recent:
+    """A memory that moves on: what was not asked for since it was half full is forgotten when it is full."""
 
     def __init__(self, most: int):
-        self.half, self.old = most // 2, {}
-
-    def __missing__(self, key):
-        value = self[key] = self.old[key]
-        return value
+        # plain dictionaries, which a set is held against key by key of the set, not key by key of the dictionary
+        self.half, self.new, self.old = most // 2, {}, {}
 
     def age(self) -> None:
-        if len(self) > self.half:
-            self.old = dict(self)
-            self.clear()
+        if len(self.new) > self.half:
+            self.new, self.old = {}, self.new
 
-    def lacks(self, key) -> bool:
-        return key not in self and key not in self.old
+    def recall(self, keys: set) -> set:
+        """The keys that are not remembered; those from the older half count as asked for."""
+        keys = keys.difference(self.new)
+        lost = keys.difference(self.old)
+        back = keys - lost
+        self.new.update(zip(back, map(self.old.__getitem__, back), strict=True))
+        return lost
 
 
 class WordEncoder:
@@ -77,32 +78,26 @@ class WordEncoder:
                 whole = ids.tobytes()
                 begin = 0
                 for run, end in zip(part, (cuts * 4).tolist(), strict=True):
-                    self.runs[run] = whole[begin:end]
+                    self.runs.new[run] = whole[begin:end]
                     begin = end
             else:
                 for run in part:
-                    self.runs[run] = self.plain(run)
+                    self.runs.new[run] = self.plain(run)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         cut = [t.replace("\n", " ").split(" ") for t in texts]
         self.words.age()
         self.runs.age()
-        known, old = self.words, self.words.old
-        new, simple = set().union(*cut) - known.keys(), []
-        for word in new:
-            if word in old:
-                known[word] = old[word]
-            elif m := SIMPLE.fullmatch(word):
-                simple.append((word, m[1].lower(), m[2]))
+        known, runs, simple = self.words.new, self.runs.new, []
+        for word in self.words.recall(set().union(*cut)):
+            bare = word.rstrip(MARKS)
+            if bare.isascii() and bare.isalpha() or LETTERS.fullmatch(bare):
+                simple.append((word, bare.lower(), word[len(bare) :]))
             else:
                 known[word] = self.plain(word) if word else b""
-        lacks = self.runs.lacks
-        self.learn_runs(list({run for _, run, _ in simple if lacks(run)}))
-        for mark in {mark for _, _, mark in simple if mark and lacks(mark)}:
-            self.runs[mark] = self.plain(mark)
-        runs = self.runs
-        for word, run, mark in simple:
-            known[word] = runs[run] + runs[mark] if mark else runs[run]
+        self.learn_runs(list(self.runs.recall({run for _, run, _ in simple})))
+        marks = {mark: self.plain(mark) if mark else b"" for mark in {mark for _, _, mark in simple}}
+        known.update([(word, runs[run] + marks[mark]) for word, run, mark in simple])
         find = known.__getitem__
         return [b"".join(map(find, c)) for c in cut]
 
