@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import audio, cells, chat, ctw, html, linededup, mixing, packing, simhash, toxicity
+from . import audio, cells, chat, ctw, html, linededup, mixing, oracles, packing, simhash, toxicity
 from .common import table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -67,4 +67,4 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_pack, op2_audio, op3_html, op4_simhash, op5_ctw, op6_mix, op7_chat, op8_lines, op9_cells, op10_toxicity, pipeline)}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op7_chat": oracles.OP7_CHAT, "op8_lines": oracles.OP8_LINES}
