@@ -101,7 +101,12 @@ def level(n: int) -> int:
     return max(0, (max(n, 1) // 4).bit_length())
 
 
-PICKED = 16
+PICKED, HUBS = 16, 64
+
+
+def comparable(n: str, m: str, least: float) -> Column:
+    """Can sets of these sizes have a Jaccard similarity of `least`?"""
+    return F.least(n, m) >= F.lit(least) * F.greatest(n, m) - 1e-9
 
 
 def set_blocks(found: np.ndarray) -> list[int]:
@@ -138,7 +143,9 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, least: float = 0.8, sm
 
     Blocks of up to `small` documents compare all their pairs. In larger ones all are compared with the
     document whose blocks are the most frequent, which is the one that edited copies share most with; those not
-    linked to it go on as a block of their own, until all blocks are small.
+    linked to it go on as a block of their own, until all blocks are small. From the second round on a block has
+    up to 8, then up to `HUBS` such documents at a time, so that few rounds are needed where little is linked.
+    Sets whose sizes alone rule out the similarity are not compared.
     """
     scratch = Scratch(docs.sparkSession)
 
@@ -174,26 +181,28 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, least: float = 0.8, sm
         right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
         return map_rows(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y"), run, "a long, b long")
 
-    links = []
-    popular = F.col("popular")
+    links, spread = [], 1
     while True:
-        few = blocks.where(F.col("size") <= small).groupBy("key").agg(F.array_sort(F.collect_set("node")).alias("nodes"))
-        pairs = few.select("nodes", F.posexplode("nodes").alias("i", "a")).select("a", F.explode(F.slice("nodes", F.col("i") + 2, small)).alias("b")).distinct()
+        few = blocks.where(F.col("size") <= small).groupBy("key").agg(F.array_sort(F.collect_set(F.struct("node", "n"))).alias("nodes"))
+        pairs = few.select("nodes", F.posexplode("nodes").alias("i", "a")).select("a", F.explode(F.slice("nodes", F.col("i") + 2, small)).alias("b")).where(comparable("a.n", "b.n", least)).select("a.node", F.col("b.node").alias("b")).toDF("a", "b").distinct()
         links.append(scratch.keep(verified(pairs), "links"))
         large = blocks.where(F.col("size") > small)
         if large.isEmpty():
             break
         weight = scratch.keep(large.groupBy("node").agg(F.sum("size").alias("popular")), "popular")
-        hubs = large.join(weight, "node").groupBy("key").agg(F.max_by("node", F.struct(popular, -F.col("node"))).alias("hub"))
+        # one hub from each of `spread` hash classes of the block: partial maxima, whatever the block's size
+        dealt = large.join(weight, "node").groupBy("key", F.pmod(F.xxhash64("node"), F.lit(spread)).alias("class"))
+        hubs = dealt.agg(F.max_by(F.struct("node", "n"), F.struct("popular", -F.col("node"))).alias("h")).select("key", F.col("h.node").alias("hub"), F.col("h.n").alias("hub_n"))
         hubs = scratch.keep(hubs, "hubs")
-        pairs = large.join(hubs, "key").where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
-        linked = scratch.keep(verified(pairs), "links")
+        met = large.join(hubs, "key").where("node <> hub").where(comparable("n", "hub_n", least))
+        linked = scratch.keep(verified(met.select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()), "links")
         links.append(linked)
         done = linked.select(F.col("a").alias("hub"), F.col("b").alias("node"))
-        rest = large.join(hubs, "key").where("node <> hub").join(done, ["hub", "node"], "left_anti").select("node", "n", "key")
-        rest = scratch.keep(rest, "rest")
+        gone = met.select("key", "hub", "node").join(done, ["hub", "node"], "left_semi").select("key", "node").unionByName(hubs.select("key", F.col("hub").alias("node"))).distinct()
+        rest = scratch.keep(large.join(gone, ["key", "node"], "left_anti").select("node", "n", "key"), "rest")
         sizes = scratch.keep(rest.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "sizes")
         blocks = scratch.keep(rest.join(sizes, "key"), "blocks")
+        spread = min(spread * 8, HUBS)
     every = links[0]
     for more in links[1:]:
         every = every.unionByName(more)
