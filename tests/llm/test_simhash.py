@@ -93,3 +93,20 @@ def test_near_duplicates_of_one_base(spark):
 def test_near_duplicates_awkward(docs, no_docs):
     got = simhash.near_duplicates(docs).toPandas()
     assert len(got) == 10 and simhash.near_duplicates(no_docs).count() == 0
+
+
+def all_pairs(rows):
+    sets = {d: frozenset(simhash.hashes(t.encode(), 5).tolist()) for d, t in rows}
+    return roots(sets, [(a, b) for a, b in combinations(sets, 2) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])])
+
+
+def test_near_duplicates_of_an_absent_base(spark):
+    rng = np.random.default_rng(2)
+    rows = []
+    for i, (length, most) in enumerate([(100, 2)] * 700 + [(200, 4)] * 700):
+        w = [f"w{length}x{k}" for k in range(length)]
+        for at in rng.choice(length, rng.integers(1, most + 1), replace=False):
+            w[at] = f"e{rng.integers(1 << 30)}"
+        rows.append((i, " ".join(w)))
+    got = simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.component_id for r in got} == all_pairs(rows)
