@@ -110,3 +110,12 @@ def test_near_duplicates_of_an_absent_base(spark):
         rows.append((i, " ".join(w)))
     got = simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {r.doc_id: r.component_id for r in got} == all_pairs(rows)
+
+
+def test_near_duplicates_of_short_texts(spark):
+    rows = []
+    for i in range(900):
+        text = " ".join(f"p{i}x{k}" for k in range(8 + i % 3))
+        rows += [(2 * i, text), (2 * i + 1, f"{text} more")]
+    got = simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert all(r.component_id == r.doc_id // 2 * 2 for r in got)
