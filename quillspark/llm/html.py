@@ -7,6 +7,9 @@ length and link density decide, and short blocks stay open. The second pass give
 its nearest decided neighbours: text if both sides agree on text, the nearer one's label if they differ, and
 no text when nothing was decided.
 
+Scripts, styles and the like run to the end of the page when they are not closed, as in browsers. Buttons, pictures,
+players and the like are left out up to their own end tag; one that has none is passed over and what follows stays.
+
 Null or empty html, or a page without text, gives ''. Text may be of any length. Repeated rows give equal text.
 """
 
@@ -24,11 +27,13 @@ from .common import map_rows
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+>"
-    r"|<(script|style|noscript|template|textarea|svg|iframe|select|button|object|canvas|audio|video|math)\b(?:[^\"'>]++|\"[^\"]*\"|'[^']*')*+>.*?(?:</\1\s*>|\Z)"
+    r"|<(script|style|noscript|template|textarea)(?=[\s/>])(?:[^\"'>]++|\"[^\"]*\"|'[^']*')*+>.*?(?:</\1\s*>|\Z)"
     r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^\"'>]++|\"[^\"]*\"|'[^']*')*+)>"
     r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*+)>",
     re.S | re.I,
 )
+#: Left out with what is inside, where they are closed.
+DROPPED = frozenset("svg iframe select button object canvas audio video math".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rb rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 ALWAYS_OUT = frozenset("nav aside form dialog menu head title footer fieldset".split())
@@ -67,6 +72,28 @@ def said_out(tag: str, attributes: str, in_article: bool) -> bool:
     return False
 
 
+def named(m: re.Match) -> tuple[str, str, str]:
+    """The slash of an end tag, the name and the attributes of a tag; no name for what else there is."""
+    end, tag, attributes = (m[2], m[3], m[4]) if m[3] else (m[5], m[6], m[7])
+    return end, (tag or "").lower(), attributes
+
+
+def left_out(tokens: list[re.Match]) -> dict[int, int]:
+    """Where elements of DROPPED start and end; an end tag belongs to the last open start tag of its name."""
+    opened: dict[str, list[int]] = {}
+    out: dict[int, int] = {}
+    for m in tokens:
+        end, tag, attributes = named(m)
+        if tag not in DROPPED:
+            continue
+        if not end:
+            if tag not in ("svg", "math") or not attributes.endswith("/"):
+                opened.setdefault(tag, []).append(m.start())
+        elif opened.get(tag):
+            out[opened[tag].pop()] = m.end()
+    return out
+
+
 def blocks(page: str) -> list[Block]:
     out: list[Block] = []
     stack: list[tuple[str, int]] = []  # open containers and the place of what is inside
@@ -88,13 +115,17 @@ def blocks(page: str) -> list[Block]:
         parts.clear()
         link_parts.clear()
 
-    for m in TOKEN.finditer(page):
+    tokens = list(TOKEN.finditer(page))
+    out_to = left_out(tokens)
+    for m in tokens:
+        if m.start() < at:
+            continue
         text(page[at : m.start()])
-        at = m.end()
-        end, tag, attributes = (m[2], m[3], m[4]) if m[3] else (m[5], m[6], m[7])
-        if not tag:
+        at = out_to.get(m.start(), m.end())
+        end, tag, attributes = named(m)
+        if not tag or tag in DROPPED:
             continue
-        tag, place = tag.lower(), stack[-1][1] if stack else 0
+        place = stack[-1][1] if stack else 0
         if tag in INLINE:
             if tag == "br":
                 text(" ")

@@ -39,3 +39,11 @@ def test_awkward_rows(spark):
     df = spark.createDataFrame(rows, "page_id long, url string, html string, text long")
     got = {(r.page_id, r.n_chars) for r in pages_op.extract(df).collect()}
     assert got == {(1, 0), (2, 0), (None, 0), (3, 199_999)} and pages_op.extract(df.limit(0)).count() == 0
+
+
+def test_only_closed_elements_are_left_out():
+    body = "<article><p>Body one.</p></article>"
+    for before in ('<svg class="i"/>', "<svg-icon name=x></svg-icon>", "<video-js></video-js>", "<button-x></button-x>", "<button>", '<select class="share">', "<iframe src='x'/>", "<script-x></script-x>", "<style-guide></style-guide>", "<button>a<button>b</button>"):
+        assert pages_op.main_text(before + body) == "Body one."
+    page = "<article><p>One <svg><svg/><svg><text>no</text></svg><text>no</text></svg>two <button>no</button><object>no<object>no</object>no</object>three <svg/>four <script>'<button>'</script>five</p><style>no"
+    assert pages_op.main_text(page) == "One two three four five"
