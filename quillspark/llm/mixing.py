@@ -64,10 +64,10 @@ def targets(sizes: list[int], weights: list[float], most: float = 3.0) -> list[f
     return out
 
 
-def sized(docs: DataFrame) -> DataFrame:
+def sized(docs: DataFrame, *extra: str) -> DataFrame:
     """doc_id, source, size and the shuffle's place of each document; the text goes no further."""
     size = F.coalesce(F.expr(f"regexp_count(text, r'{WORDS}')"), F.lit(0)).cast("long")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", size.alias("size"), F.xxhash64("doc_id", F.lit("mix")).alias("place"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", size.alias("size"), F.xxhash64("doc_id", F.lit("mix")).alias("place"), *extra)
 
 
 def quotas(documents: DataFrame, weights: list[float] | None = None, block: int = BLOCK, most: float = 3.0) -> list[Quota]:
@@ -83,7 +83,7 @@ def sources_frame(spark: SparkSession, found: list[Quota]) -> DataFrame:
     return spark.createDataFrame([(q.rank, q.source, q.size, float(q.target), q.words, q.blocks, q.epochs, q.rest) for q in found], "rank int, source string, source_size long, target double, source_words long, blocks long, epochs long, rest long")
 
 
-def placed(documents: DataFrame, scratch: Scratch) -> DataFrame:
+def placed(documents: DataFrame, scratch: Scratch, *extra: str) -> DataFrame:
     """Documents with `start`, the words of their source before them in the shuffled order."""
     n = documents.count()
     ranges = max(1, -(-n // RANGE_ROWS))
@@ -93,9 +93,9 @@ def placed(documents: DataFrame, scratch: Scratch) -> DataFrame:
     keyed = documents.withColumn("bucket", bucket)
     sums = keyed.groupBy("source", "bucket").agg(F.sum("size").alias("words"))
     before = scratch.keep(sums.withColumn("before", F.sum("words").over(Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))).select(F.col("source").alias("_source"), F.col("bucket").alias("_bucket"), F.coalesce("before", F.lit(0)).alias("before")), "before")
-    inside = Window.partitionBy("source", "bucket").orderBy("place", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("source", "bucket").orderBy("place", "doc_id", "size", *extra).rowsBetween(Window.unboundedPreceding, -1)
     run = keyed.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0)))
-    return run.join(before, F.col("source").eqNullSafe(F.col("_source")) & (F.col("bucket") == F.col("_bucket"))).withColumn("start", F.col("before") + F.col("inside")).select("doc_id", "source", "size", "start")
+    return run.join(before, F.col("source").eqNullSafe(F.col("_source")) & (F.col("bucket") == F.col("_bucket"))).withColumn("start", F.col("before") + F.col("inside")).select("doc_id", "source", "size", "start", *extra)
 
 
 def slot_sources(first: int, n: int, edges: np.ndarray) -> np.ndarray:
@@ -163,17 +163,31 @@ def mix_documents(docs: DataFrame, weights: list[float] | None = None, *, block:
 
 
 def mix_rows(docs: DataFrame, weights: list[float] | None = None, *, block: int = BLOCK) -> DataFrame:
-    """The documents as the mix holds them, whole, once for each time that it comes to them; same columns."""
+    """The documents as the mix holds them, in the order of the schedule; same columns.
+
+    A document stands once for each epoch that takes it, at the slot that takes its first word. The one that a
+    source's last slot ends in is cut there (and its n_chars), so each source has just the words of its quota.
+    Documents without words go with the block that they lie at. A partition holds `CHUNK` slots, in order.
+    """
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession)
-    documents = scratch.keep(sized(docs).withColumn("digest", F.xxhash64("place", "size")), "sized")
-    found = quotas(documents.drop("digest"), weights, block)
+    stored = scratch.keep(docs.withColumn("_row", F.monotonically_increasing_id()), "stored")
+    documents = scratch.keep(sized(stored, "_row"), "sized")
+    found = quotas(documents, weights, block)
     sources = sources_frame(spark, found)
-    at = placed(documents, scratch)
+    used = schedule(spark, found, block).select("rank", "nth", "slot")
+    at = placed(documents, scratch, "_row")
+    ranked = at.join(F.broadcast(sources), at.source.eqNullSafe(sources.source)).drop(sources.source)
     copies = F.col("epochs") + (F.col("start") < F.col("rest")).cast("long")
-    counted = at.join(F.broadcast(sources), at.source.eqNullSafe(sources.source)).select(F.col("doc_id").alias("_id"), F.col("size").alias("_size"), copies.alias("_copies")).where("_copies > 0")
-    # repeated rows share their id and size: each copies row stands for one of them
-    counted = counted.groupBy("_id", "_size").agg(F.sum("_copies").alias("_copies"), F.count("*").alias("_rows"))
-    size = F.coalesce(F.expr(f"regexp_count(text, r'{WORDS}')"), F.lit(0)).cast("long")
-    nth = F.floor(F.col("_copies") / F.col("_rows"))
-    joined = docs.withColumn("_n", size).join(counted.hint("shuffle_hash"), F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_n") == F.col("_size")))
-    return joined.withColumn("_each", F.explode(F.sequence(F.lit(1).cast("long"), F.greatest(F.lit(1).cast("long"), nth)))).select(*docs.columns)
+    each = ranked.withColumn("copies", copies).where("copies > 0").withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)))
+    taken = F.when(F.col("epoch") < F.col("epochs"), F.col("size")).otherwise(F.least("size", F.col("rest") - F.col("start")))
+    nth = F.col("epoch") * F.col("blocks") + F.least(F.floor(F.col("start") / block), F.col("blocks") - 1)
+    turns = each.select("rank", nth.alias("nth"), "_row", "start", "size", taken.alias("taken")).join(used, ["rank", "nth"])
+    turns = turns.select(F.col("_row").alias("_of"), F.col("slot").alias("_slot"), F.col("start").alias("_start"), F.col("size").alias("_size"), F.col("taken").alias("_taken"))
+    out = stored.join(turns.hint("shuffle_hash"), F.col("_row") == F.col("_of"))
+    cut, first = F.col("_taken") < F.col("_size"), F.expr(f"slice(regexp_extract_all(text, r'({WORDS}[\\x20\\x09-\\x0D]*)', 1), 1, cast(_taken as int))")
+    out = out.withColumn("text", F.when(cut, F.array_join(first, "")).otherwise(F.col("text")))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(cut, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    chunks = max(1, -(-sum(q.slots(block) for q in found) // CHUNK) + 2)
+    chunk = F.floor(F.col("_slot") / CHUNK).cast("int")
+    return out.repartitionById(chunks, chunk).sortWithinPartitions("_slot", "_start", "_size", "_row").select(*docs.columns)

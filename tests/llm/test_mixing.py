@@ -58,3 +58,24 @@ def test_awkward_rows(docs, no_docs):
     check(docs)
     assert mixing.mix_documents(no_docs).count() == 0 and mixing.mix_rows(no_docs).count() == 0
     assert mixing.mix_rows(docs).columns == docs.columns
+
+
+def test_rows_follow_the_schedule(spark):
+    rows = [(i, " ".join(f"w{i}x{k}" for k in range(n)) + "\n", s, -1) for i, (s, n) in enumerate([(s, 256) for s in "abc" for _ in range(100)] + [("d", 3000)] + [("d", 7 + k % 90) for k in range(600)])]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long")
+    got = mixing.mix_rows(df).collect()
+    words = {s: sum(len(r.text.split()) for r in got if r.source == s) for s in "abcd"}
+    assert words == {q.source: q.words for q in mixing.quotas(mixing.sized(df))}
+    whole = {r[0]: r[1] for r in rows}
+    parts = [r for r in got if r.text != whole[r.doc_id]]
+    assert len(parts) <= 4 and all(whole[r.doc_id].startswith(r.text) and r.n_chars == len(r.text) for r in parts)
+    order = [r.source for r in got if r.source != "d"]
+    for s in "abc":
+        share = order.count(s) / len(order)
+        assert np.abs(np.cumsum([x == s for x in order]) - share * np.arange(1, len(order) + 1)).max() < 8
+
+
+def test_repeated_rows_are_taken_each(spark):
+    rows = [(7, "one two three", "a")] * 4 + [(7, "four five six", "a")] * 2
+    got = sorted(r.text for r in mixing.mix_rows(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect())
+    assert got == sorted(r[1] for r in rows)
