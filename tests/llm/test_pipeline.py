@@ -52,3 +52,10 @@ def test_every_set_size_has_blocks(n):
     import numpy as np
 
     assert simhash.set_blocks(np.arange(n, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
+
+def test_one_row_of_each_group(spark, sf_dir):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    rows = [(3, a), (3, a), (5, a), (None, a), (None, f"{a} more"), (None, b), (None, b), (2, f"{c} more"), (2, c), (9, c), (4, "else")]
+    got = corpus_pipeline.drop_near_copies(spark, spark.createDataFrame(rows, "doc_id long, text string"), sf_dir).collect()
+    assert sorted((r.doc_id or 0, r.text[:2]) for r in got) == [(0, "b0"), (2, "c0"), (3, "a0"), (4, "el")]
