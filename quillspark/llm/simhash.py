@@ -152,13 +152,28 @@ def prefix(found: np.ndarray, least: float) -> bytes:
 
 
 def sketch(found: np.ndarray) -> bytes:
-    """The parity of the number of shingles in each of 512 classes: sets differ in as many shingles as sketches in bits, or more."""
-    counts = np.bincount((found & np.uint64(SKETCH_BITS - 1)).astype(np.int64), minlength=SKETCH_BITS)
+    """The parity of the number of shingles in each of 512 or more classes, at least twice as many as shingles.
+
+    Sets differ in as many shingles as their sketches in bits, or more.
+    """
+    bits = max(SKETCH_BITS, 1 << (2 * len(found)).bit_length())
+    counts = np.bincount((found & np.uint64(bits - 1)).astype(np.int64), minlength=bits)
     return np.packbits(counts & 1).tobytes()
 
 
+def folded(wide: bytes, size: int) -> np.ndarray:
+    """A sketch of `size` bytes, of fewer classes."""
+    return np.bitwise_xor.reduce(np.frombuffer(wide, np.uint64).reshape(-1, size // 8), 0)
+
+
+def difference(a: bytes, b: bytes) -> int:
+    """Bits in which two sketches differ, the wider one folded."""
+    size = min(len(a), len(b))
+    return int(np.bitwise_count(folded(a, size) ^ folded(b, size)).sum(dtype=np.int64))
+
+
 def meetings(rows: Iterator[tuple], least: float) -> Iterator[tuple]:
-    """Pairs (a, b) and the difference of their sketches, of rows sorted by cell: in a cell those on the left meet all others.
+    """Pairs (a, b) and the difference of their short sketches, of rows sorted by cell: in a cell those on the left meet all others.
 
     Left out are pairs of one group, and those whose sizes or sketches rule out the similarity.
     """
@@ -191,7 +206,7 @@ def apart(described: DataFrame, grouped: DataFrame, scratch: Scratch, least: flo
     At a shingle, all that are not of its most frequent group meet all others. Frequent shingles are split into
     cells of about `SPLIT` documents on each side, so no shingle is one task and the largest group costs its size.
     """
-    known = scratch.keep(described.join(grouped, (F.col("set_id") == F.col("_set")) & (F.col("doc_id") == F.col("node")) & (F.col("digest") == F.col("_digest"))).select("node", "component", "n", "sketch", "prefix").dropDuplicates(["node"]), "known")
+    known = scratch.keep(described.join(grouped, (F.col("set_id") == F.col("_set")) & (F.col("doc_id") == F.col("node")) & (F.col("digest") == F.col("_digest"))).select("node", "component", "n", "sketch", "wide", "prefix").dropDuplicates(["node"]), "known")
 
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -217,7 +232,17 @@ def apart(described: DataFrame, grouped: DataFrame, scratch: Scratch, least: flo
     left = met.where("component <> top").select("token", own("rows").alias("i"), each("columns").alias("j"), F.lit(True).alias("left"), *columns)
     right = met.select("token", each("rows").alias("i"), own("columns").alias("j"), F.lit(False).alias("left"), *columns)
     cells = left.unionByName(right).repartition("token", "i", "j").sortWithinPartitions("token", "i", "j")
-    return scratch.keep(map_rows(cells, lambda rows: meetings(rows, least), "a long, b long, h int").groupBy("a", "b").agg(F.min("h").alias("h")), "apart")
+    pairs = scratch.keep(map_rows(cells, lambda rows: meetings(rows, least), "a long, b long, h int").select("a", "b").distinct(), "pairs")
+    share = (1 - least) / (1 + least)
+
+    def run(some: Iterator[tuple]) -> Iterator[tuple]:
+        for a, b, n, m, x, y in some:
+            if (h := difference(x, y)) <= share * (n + m) + 1e-9:
+                yield a, b, h
+
+    side = lambda node, n, wide: known.select(F.col("node").alias(node), F.col("n").alias(n), F.col("wide").alias(wide))
+    wide = pairs.join(side("a", "n", "x"), "a").join(side("b", "m", "y"), "b").select("a", "b", "n", "m", "x", "y")
+    return scratch.keep(map_rows(wide, run, "a long, b long, h int"), "apart")
 
 
 def near_duplicates(docs: DataFrame, *, shingle: int = 5, least: float = 0.8, small: int = 8) -> DataFrame:
@@ -237,10 +262,11 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, least: float = 0.8, sm
     def describe(rows: Iterator[tuple]) -> Iterator[tuple]:
         for doc_id, digest, text in rows:
             found = np.unique(hashes(text or b"", shingle))
-            yield doc_id, digest, xxhash.xxh3_64_intdigest(found.tobytes()) >> 1, set_blocks(found), len(found), prefix(found, least), sketch(found)
+            wide = sketch(found)
+            yield doc_id, digest, xxhash.xxh3_64_intdigest(found.tobytes()) >> 1, set_blocks(found), len(found), prefix(found, least), folded(wide, SKETCH_BITS // 8).tobytes(), wide
 
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("digest"), "text")
-    rows = scratch.keep(map_rows(source, describe, "doc_id long, digest long, set_id long, keys array<long>, n int, prefix binary, sketch binary", binary=("text",)), "sets")
+    rows = scratch.keep(map_rows(source, describe, "doc_id long, digest long, set_id long, keys array<long>, n int, prefix binary, sketch binary, wide binary", binary=("text",)), "sets")
     # equal sets are one node, named by a row that has it
     nodes = scratch.keep(rows.where("doc_id is not null").groupBy("set_id").agg(F.min(F.struct("doc_id", "digest", "keys", "n")).alias("r")).select("set_id", F.col("r.doc_id").alias("node"), F.col("r.digest").alias("digest"), F.col("r.keys").alias("keys"), F.col("r.n").alias("n")), "nodes")
     keyed = nodes.select("node", "n", F.explode("keys").alias("key"))
