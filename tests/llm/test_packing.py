@@ -2,6 +2,7 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 from tokenizers import Tokenizer
 
 from quillspark.llm import packing, queries
@@ -48,3 +49,22 @@ def test_awkward_rows(docs, no_docs):
 def test_spaces_and_special_strings(spark):
     texts = {i: t for i, t in enumerate(["a b\x1cc\x85d", "x<|endoftext|>y <|startoftext|>", "é ́a it's 12 \n\n ß", "ΑΣ ΣΑΣ"])}
     check(packing.digest(packing.pack_documents(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), queries.tokenizer_path())).collect(), texts)
+
+
+def test_small_chunks_and_a_small_memory(spark, sf_dir, monkeypatch):
+    monkeypatch.setattr(packing, "KNOWN_BYTES", 4000)
+    encoder = packing.WordEncoder(queries.tokenizer_path())
+    texts = [t or "" for t in queries.table(spark, sf_dir, "documents").toPandas().text[:60]] + ["", " ", "é" * 500, "ÀÉ,ü. " * 40, "Don't 12x (é)"]
+    for most in (300, 20_000):
+        for first, n in packing.chunks(pa.array(texts), most):
+            ids, counts = encoder.encode(pa.array(texts[first : first + n]), 2)
+            assert np.split(ids, np.cumsum(counts)[:-1])[0].dtype == np.uint32
+            for text, got in zip(texts[first : first + n], np.split(ids, np.cumsum(counts)[:-1]), strict=True):
+                assert got.tolist() == [*encoder.tokenizer.encode(text, add_special_tokens=False).ids, 2]
+    assert encoder.known.nbytes + encoder.pool.nbytes <= 4000 and max(map(len, encoder.known.to_pylist()), default=0) <= 64
+
+
+def test_a_text_longer_than_a_chunk(spark):
+    text = "".join(f"Word{i}, (é{i}) don't\n " for i in range(4000)) + "x" * 9000 + " end"
+    rows = packing.digest(packing.pack_documents(spark.createDataFrame([(1, text), (2, "short")], "doc_id long, text string"), queries.tokenizer_path(), chunk_bytes=2000)).collect()
+    check(rows, {1: text, 2: "short"})
