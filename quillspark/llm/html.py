@@ -1,16 +1,23 @@
 """Main-text extraction by two-pass block rules.
 
-A page is cut into blocks at block-level tags. The first pass labels blocks: structure decides where the page
-has it (inside an article or main element; inside a menu, header, footer, aside, form, dialog, or an element
-whose role, class or id says advert, sidebar, notice, comments and the like); elsewhere stop-word density,
-length and link density decide, and short blocks stay open. The second pass gives each open block the label of
-its nearest decided neighbours: text if both sides agree on text, the nearer one's label if they differ, and
-no text when nothing was decided.
+A page is cut into blocks at block-level tags; scripts, styles and what an element itself says is no article (menus,
+headers, footers, asides, forms, and elements whose role, class or id says advert, sidebar, notice, comments and the
+like) are cleaned away. The first pass labels each block that is left by its length, stop-word density and link density:
+text, boilerplate, or open where it is short or says too little. An article element is one more feature: inside it a
+block with many links is open, not boilerplate; outside it, where the article elements hold most of the page's dense
+text, a block is boilerplate. The second pass gives each open block the label of its nearest decided neighbours: text
+if both sides agree on text, the nearer one's label if they differ, text where both are as near; inside an article
+element only neighbours of the same element count, and its borders are text. Where nothing was decided there is no text.
+
+Class and id words count as whole words; a compound such as `site-footer` counts if each of its parts is such a word or
+says no more than a place, so `has-sidebar` and `article-header` say nothing. A form that holds the article is no form.
 
 Scripts, styles and the like run to the end of the page when they are not closed, as in browsers. Buttons, pictures,
 players and the like are left out up to their own end tag; one that has none is passed over and what follows stays.
 
-Null or empty html, or a page without text, gives ''. Text may be of any length. Repeated rows give equal text.
+Null or empty html, or a page without text, gives ''. Text may be of any length. Repeated rows and ties give equal text,
+each row one of its own; a null page_id or url stays null. An empty table gives an empty result; other columns, whatever
+their names, are ignored.
 """
 
 from __future__ import annotations
@@ -37,11 +44,16 @@ DROPPED = frozenset("svg iframe select button object canvas audio video math".sp
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rb rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 ALWAYS_OUT = frozenset("nav aside form dialog menu head title footer fieldset".split())
-SAID = re.compile(r"""\b(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+SAID = re.compile(r"""([^\s"'=<>/]+)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""")
 OUT_ROLE = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
+#: What a class or id says of an element that is no article.
 OUT_WORD = frozenset(
-    "ad ads advert adverts advertisement advertising advertorial sponsor sponsored promo promotion banner nav navbar navigation menu menubar topbar toolbar breadcrumb breadcrumbs header masthead footer sidebar aside rail widget cookie cookies consent gdpr notice alert disclaimer popup modal overlay newsletter subscribe subscription signup login comment comments commentlist disqus reply replies responses discussion share sharing social related recommended recommendations pagination pager search copyright".split()
+    "ad ads advert adverts advertisement advertising advertorial sponsor sponsored promo promotion banner nav navbar navigation menu menubar topbar toolbar breadcrumb breadcrumbs header masthead footer sidebar aside rail widget cookie cookies consent gdpr notice alert disclaimer popup modal overlay newsletter subscribe subscription signup login comment comments commentlist disqus reply replies share sharing social related recommended recommendations pagination pager search copyright".split()
 )
+#: What stands beside such words in compounds and says nothing else, and what may stand before comments.
+PLACE_WORD = frozenset("site page main global primary secondary left right top bottom upper lower inner outer first last area bar box block container wrapper wrap section list item items group panel slot unit col column row content text links buttons posts stories form thread js".split())
+COMMENTS, NOT_THERE = frozenset("comment comments commentlist disqus replies".split()), frozenset("has have with without no is hide show toggle allow enable disable can open".split())
 STOP = frozenset(
     "the of and to in a is that for it was on are as with his they at be this have from or had by but not what all were we when your can said there an each which she do how their if will up other about out many then them these so some her would make like him into has he not "
     "der die das und in zu den von mit ist im für auf ein eine dem des nicht sich auch als an nach wie es aus bei am war oder sie er wir aber noch "
@@ -54,21 +66,28 @@ LINKS, STOPS_HIGH, STOPS_LOW, SHORT, LONG = 0.33, 0.28, 0.12, 70, 140
 class Block(NamedTuple):
     text: str
     n_link: int
-    place: int  # 1 inside the article, -1 inside boilerplate, 0 unknown
+    place: int  # number of the article element that holds it, 0 outside of any, -1 inside boilerplate
+
+
+def says_out(word: str) -> bool:
+    """Does one word of a class or id say that its element is no article?"""
+    if word in OUT_WORD:
+        return True
+    parts = [p for p in re.split(r"[^a-z]+", word) if p]
+    if len(parts) < 2:
+        return bool(parts) and parts[0] in OUT_WORD
+    return not OUT_WORD.isdisjoint(parts) and all(p in OUT_WORD or p in PLACE_WORD for p in parts) or parts[-1] in COMMENTS and parts[0] not in NOT_THERE
 
 
 def said_out(tag: str, attributes: str, in_article: bool) -> bool:
     if tag in ALWAYS_OUT or tag == "header" and not in_article:
         return True
-    if tag in ("html", "body", "article", "main") or not attributes:
+    if tag in ("html", "body", "article", "main") or tag in HEADINGS or not attributes:
         return False
-    for name, value in SAID.findall(attributes):
-        value = value.strip("\"'").lower()
-        if name.lower() == "role":
-            if value in OUT_ROLE:
-                return True
-        elif not OUT_WORD.isdisjoint(re.split(r"[^a-z]+", value)):
-            return True
+    for name, value in SAID.findall(attributes.lower()):
+        value = value.strip("\"'")
+        if name == "role" and value in OUT_ROLE or name in ("class", "id") and any(map(says_out, value.split())):
+            return not (tag == "header" and value in ("header", "banner"))
     return False
 
 
@@ -94,12 +113,28 @@ def left_out(tokens: list[re.Match]) -> dict[int, int]:
     return out
 
 
+def with_article(tokens: list[re.Match]) -> set[int]:
+    """Where forms start that hold an article or main element."""
+    opened: list[int] = []
+    found: set[int] = set()
+    for m in tokens:
+        end, tag, _ = named(m)
+        if tag == "form":
+            if not end:
+                opened.append(m.start())
+            elif opened:
+                opened.pop()
+        elif tag in ("article", "main") and not end:
+            found.update(opened)
+    return found
+
+
 def blocks(page: str) -> list[Block]:
     out: list[Block] = []
     stack: list[tuple[str, int]] = []  # open containers and the place of what is inside
     parts: list[str] = []
     link_parts: list[str] = []
-    in_link, at = 0, 0
+    in_link, at, articles = 0, 0, 0
 
     def text(piece: str) -> None:
         if piece:
@@ -116,7 +151,7 @@ def blocks(page: str) -> list[Block]:
         link_parts.clear()
 
     tokens = list(TOKEN.finditer(page))
-    out_to = left_out(tokens)
+    out_to, whole = left_out(tokens), with_article(tokens)
     for m in tokens:
         if m.start() < at:
             continue
@@ -155,54 +190,73 @@ def blocks(page: str) -> list[Block]:
                 stack.pop()
             if place >= 0 and said_out(tag, attributes, place > 0):
                 stack.append((tag, -1))
-        elif place < 0 or said_out(tag, attributes, place > 0):
+        elif place < 0 or said_out(tag, attributes, place > 0) and m.start() not in whole:
             stack.append((tag, -1))
         else:
-            stack.append((tag, 1 if tag in ("article", "main") else place))
+            if tag in ("article", "main") and not place:
+                articles += 1
+                place = articles
+            stack.append((tag, place))
     text(page[at:])
     close(stack[-1][1] if stack else 0)
     return out
 
 
-def first_pass(block: Block, has_article: bool) -> int:
-    """1 text, -1 boilerplate, 0 open."""
-    if block.place:
-        return block.place
+def dense(block: Block) -> bool:
+    """Long or with many stop words, and few links."""
     n = len(block.text)
-    if block.n_link > LINKS * n:
-        return -1
-    if has_article or "\xa9" in block.text and n < LONG:
-        return -1
-    if n < SHORT:
-        return 0
+    if n < SHORT or block.n_link > LINKS * n:
+        return False
     tokens = block.text.lower().split()
     share = sum(t.strip(".,;:!?\"'()") in STOP for t in tokens) / len(tokens)
-    return 1 if share >= STOPS_HIGH or n >= LONG and share >= STOPS_LOW else 0
+    return share >= STOPS_HIGH or n >= LONG and (share >= STOPS_LOW or not block.n_link and n >= 2 * LONG)
 
 
-def second_pass(labels: list[int]) -> list[int]:
+def first_pass(found: list[Block]) -> list[int]:
+    """1 text, -1 boilerplate, 0 open, of each block that is not inside boilerplate."""
+    thick = [dense(b) for b in found]
+    inside = sum(len(b.text) for b, t in zip(found, thick, strict=True) if t and b.place)
+    outside = sum(len(b.text) for b, t in zip(found, thick, strict=True) if t and not b.place)
+    # an article without a dense block still is one where nothing outside is dense
+    article = any(b.place for b in found) and inside >= outside
+
+    def label(b: Block, t: bool) -> int:
+        if not b.place and (article or b.n_link > LINKS * len(b.text) or "\xa9" in b.text and len(b.text) < LONG):
+            return -1
+        return int(t)
+
+    return [label(b, t) for b, t in zip(found, thick, strict=True)]
+
+
+def second_pass(labels: list[int], places: list[int]) -> list[int]:
     """Open blocks take the label of the nearest decided neighbours."""
     n = len(labels)
-    before, after, seen = [(0, n)] * n, [(0, n)] * n, (0, n)
-    for i in range(n):
-        seen = (labels[i], 0) if labels[i] else (seen[0], seen[1] + 1)
-        before[i] = seen
-    seen = (0, n)
-    for i in reversed(range(n)):
-        seen = (labels[i], 0) if labels[i] else (seen[0], seen[1] + 1)
-        after[i] = seen
+
+    def nearest(order) -> list[tuple[int, int]]:
+        out, seen, last = [(0, 0)] * n, (0, 0), 0
+        for i in order:
+            if places[i] != last:  # the border of an article element is text to what is inside, and ends what is outside
+                seen, last = (1, 0) if places[i] else (0, 0), places[i]
+            seen = (labels[i], 0) if labels[i] else (seen[0], seen[1] + 1)
+            out[i] = seen
+        return out
+
     out = []
-    for (a, da), (b, db) in zip(before, after, strict=True):
+    for label, (a, da), (b, db) in zip(labels, nearest(range(n)), nearest(range(n - 1, -1, -1)), strict=True):
         decided = [x for x in ((da, a), (db, b)) if x[1]]
-        out.append(min(decided, key=lambda x: (x[0], -x[1]))[1] if decided else -1)
+        out.append(label or (min(decided, key=lambda x: (x[0], -x[1]))[1] if decided else -1))
     return out
 
 
+def labelled(page: str | None) -> list[tuple[Block, int, int]]:
+    """The blocks that are not inside boilerplate, with their labels after the first and the second pass."""
+    found = [b for b in blocks(page or "") if b.place >= 0]
+    first = first_pass(found)
+    return list(zip(found, first, second_pass(first, [b.place for b in found]), strict=True))
+
+
 def main_text(page: str | None) -> str:
-    found = blocks(page or "")
-    has_article = any(b.place > 0 for b in found)
-    labels = second_pass([first_pass(b, has_article) for b in found])
-    return "\n".join(b.text for b, label in zip(found, labels, strict=True) if label > 0)
+    return "\n".join(b.text for b, _, label in labelled(page) if label > 0)
 
 
 def extract(pages: DataFrame, *, id_column: str = "page_id", url_column: str = "url", html_column: str = "html") -> DataFrame:
