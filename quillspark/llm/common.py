@@ -66,6 +66,22 @@ class Scratch:
         self.paths[name] = old[len(old) - but :]
 
 
+#: A value that more than this share of all rows have is hot; there are at most 1 / HOT of them.
+HOT = 1e-4
+
+
+def join_copies(rows: DataFrame, facts: DataFrame, key: str) -> DataFrame:
+    """rows with the facts (one row per key, with the number of its rows in `copies`) of their key; both are stored tables.
+
+    At most 10,000 keys can have more than a ten-thousandth of all rows each; their facts are broadcast, so no task
+    gets a hot key's rows. The others are joined by a shuffle.
+    """
+    total = facts.agg(F.sum("copies").alias("n")).first()["n"] or 0
+    hot, cold = facts.where(F.col("copies") > HOT * total).drop("copies"), facts.where(F.col("copies") <= HOT * total).drop("copies")
+    rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key)
+    return rows.join(F.broadcast(hot), key).unionByName(rest)
+
+
 def as_bytes(column: pa.Array) -> list[bytes | None]:
     """Strings of an Arrow column as UTF-8, without decoding them."""
     return column.cast(pa.binary() if pa.types.is_string(column.type) else pa.large_binary()).to_pylist()

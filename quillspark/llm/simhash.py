@@ -1,12 +1,13 @@
 """SimHash near-dedup by pigeonhole blocks.
 
 Fingerprints: bit i is set if it is set in over half of the XXH64 (seed 42) hashes of a document's word shingles.
-Pigeonhole: a fingerprint is cut into four blocks; two fingerprints that differ in at most two bits agree in
-at least two blocks. Distinct fingerprints (one row for any number of exact copies) are joined on the six pairs
-of blocks; those that share a pair with no other fingerprint have no link. The others are verified exactly
-without listing pairs: two fingerprints differ in at most two bits just if some 64-bit word differs from both
-in at most one. So each sends itself to the 65 such words; all that meet at a word are within two bits
-of each other, at most 65 of them, and are linked to the least. Neither step grows with the square of a group.
+Pigeonhole: a fingerprint is cut into four blocks (more where there are so many fingerprints that half of their bits
+tell few apart); two that differ in at most two bits agree in all blocks but two. Distinct fingerprints (one row for any
+number of exact copies) are joined on each choice of such blocks, and each pair that meets is verified by its Hamming
+distance, where the first choice that it agrees in finds it. Blocks that more than `LARGE` fingerprints share, as groups
+of edited copies do, are not paired: two fingerprints differ in at most two bits just if some 64-bit word differs from
+both in at most one, so each sends itself to the 65 such words, and the at most 65 that meet at a word are linked to the
+least. Neither step grows with the square of a group, and both are exact.
 
 Near duplicates by shingle similarity (`near_duplicates`) use the same idea on the shingle set: it is cut into
 blocks by hash, close documents share a whole block, documents are joined on equal blocks and verified by the
@@ -24,7 +25,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from itertools import groupby
+from itertools import combinations, groupby, pairwise
 from operator import itemgetter
 
 import numpy as np
@@ -33,10 +34,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, map_rows, words
+from .common import Scratch, join_copies, map_rows, words
 from .components import components
 
-BLOCK_BITS, BLOCKS = 16, 4
+BLOCKS, LARGE = 4, 64
+
+
+def signed(n: int) -> int:
+    return n - (1 << 64) if n >> 63 else n
 
 
 def shingles(found: list[bytes], size: int) -> list[bytes]:
@@ -67,26 +72,41 @@ def fingerprints(docs: DataFrame, *, shingle: int = 3, id_column: str = "doc_id"
     def run(rows: Iterator[tuple]) -> Iterator[tuple]:
         for doc_id, text in rows:
             fp = fingerprint(hashes(text, shingle)) if text else 0
-            yield doc_id, fp - (1 << 64) if fp >> 63 else fp
+            yield doc_id, signed(fp)
 
     return map_rows(docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text")), run, "doc_id long, fp long", binary=("text",))
 
 
-def block_keys(fp: Column) -> Column:
-    """The six pairs of 16-bit blocks, each with its number above the 32 bits."""
-    block = [F.shiftrightunsigned(fp, BLOCK_BITS * i).bitwiseAND(F.lit((1 << BLOCK_BITS) - 1)) for i in range(BLOCKS)]
-    pairs = [(i, j) for i in range(BLOCKS) for j in range(i)]
-    return F.array(*[F.lit(n << 32).bitwiseOR(F.shiftleft(block[i], BLOCK_BITS)).bitwiseOR(block[j]) for n, (i, j) in enumerate(pairs)])
+def choices(blocks: int, differ: int = 2) -> list[int]:
+    """The bits of every choice of all blocks but `differ`, as signed masks."""
+    edges = [64 * i // blocks for i in range(blocks + 1)]
+    masks = [(1 << b) - (1 << a) for a, b in pairwise(edges)]
+    return [signed(sum(chosen)) for chosen in combinations(masks, blocks - differ)]
+
 
+def blocks_for(n: int) -> int:
+    """Blocks that keep chance meetings few: four have keys of 32 bits, six of 43, ten of 51."""
+    return BLOCKS if n < 1 << 30 else 6 if n < 1 << 40 else 10
 
-def hamming_links(distinct: DataFrame, scratch: Scratch) -> DataFrame:
+
+def hamming_links(distinct: DataFrame, scratch: Scratch, *, blocks: int | None = None, most: int = LARGE) -> DataFrame:
     """Links (a, b) between the `node`s of distinct fingerprints, enough to connect all that differ in two bits or fewer."""
-    keyed = distinct.select("node", "fp", F.explode(block_keys(F.col("fp"))).alias("key"))
-    shared = scratch.keep(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "shared")
-    near = keyed.join(shared, "key", "left_semi").select("node", "fp").distinct()
-    one_bit = F.array(F.col("fp"), *[F.col("fp").bitwiseXOR(F.lit((1 << i) - (1 << 64) if i == 63 else 1 << i)) for i in range(64)])
-    met = near.select("node", F.explode(one_bit).alias("word")).groupBy("word").agg(F.collect_list("node").alias("nodes")).where(F.size("nodes") > 1)
-    return met.select(F.array_min("nodes").alias("a"), F.explode("nodes").alias("b")).where("a <> b").distinct()
+    blocks = blocks or blocks_for(distinct.count())
+    masks = choices(blocks)
+    keys = F.array(*[F.struct(F.lit(n).alias("choice"), F.col("fp").bitwiseAND(F.lit(mask)).alias("bits")) for n, mask in enumerate(masks)])
+    keyed = distinct.select("node", "fp", F.explode(keys).alias("key"))
+    shared = scratch.keep(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "shared")
+    met = scratch.keep(keyed.join(shared, "key"), "met")
+    small = met.where(F.col("n") <= most).select("key", "node", "fp")
+    left, right = (small.select("key", F.col("node").alias(node), F.col("fp").alias(fp)) for node, fp in (("a", "x"), ("b", "y")))
+    differ = F.col("x").bitwiseXOR(F.col("y"))
+    first = F.coalesce(*[F.when(differ.bitwiseAND(F.lit(mask)) == 0, n) for n, mask in enumerate(masks)])
+    near = left.join(right, "key").where((F.col("x") < F.col("y")) & (F.bit_count(differ) <= 2) & (first == F.col("key.choice")))
+    near = near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    crowd = met.where(F.col("n") > most).select("node", "fp").distinct()
+    one_bit = F.array(F.col("fp"), *[F.col("fp").bitwiseXOR(F.lit(signed(1 << i))) for i in range(64)])
+    words = crowd.select("node", F.explode(one_bit).alias("word")).groupBy("word").agg(F.collect_list("node").alias("nodes")).where(F.size("nodes") > 1)
+    return near.unionByName(words.select(F.array_min("nodes").alias("a"), F.explode("nodes").alias("b")).where("a <> b").distinct())
 
 
 def near_components(docs: DataFrame, *, shingle: int = 3) -> DataFrame:
@@ -94,10 +114,10 @@ def near_components(docs: DataFrame, *, shingle: int = 3) -> DataFrame:
     scratch = Scratch(docs.sparkSession)
     marked = scratch.keep(fingerprints(docs, shingle=shingle), "fingerprints")
     # copies fold into one row before any shuffle; its node is the smallest doc_id of them
-    distinct = scratch.keep(marked.groupBy("fp").agg(F.min("doc_id").alias("node")), "distinct")
+    distinct = scratch.keep(marked.groupBy("fp").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies")), "distinct")
     found = components(hamming_links(distinct.where("node is not null"), scratch), scratch)
-    of_fp = scratch.keep(distinct.join(found, "node", "left").select("fp", F.coalesce("component", F.col("node")).alias("component_id")), "of")
-    return marked.join(of_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    of_fp = scratch.keep(distinct.join(found, "node", "left").select("fp", "copies", F.coalesce("component", F.col("node")).alias("component_id")), "of")
+    return join_copies(marked, of_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 # Near duplicates by shingle similarity
@@ -135,10 +155,6 @@ def set_blocks(found: np.ndarray) -> list[int]:
     return keys
 
 
-def signed(n: int) -> int:
-    return n - (1 << 64) if n >> 63 else n
-
-
 def similarity(a: bytes, b: bytes) -> float:
     """Jaccard similarity of two sorted sets of 64-bit hashes."""
     x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)

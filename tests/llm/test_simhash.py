@@ -47,8 +47,25 @@ def test_links_of_planted_fingerprints(spark):
     fps = sorted(set(fps))
     want = roots(range(len(fps)), [(a, b) for a, b in combinations(range(len(fps)), 2) if (fps[a] ^ fps[b]).bit_count() <= 2])
     scratch = Scratch(spark)
-    df = spark.createDataFrame([(i, f - (1 << 64) if f >> 63 else f) for i, f in enumerate(fps)], "node long, fp long")
-    got = {r.node: r.component for r in components(simhash.hamming_links(df, scratch), scratch).collect()}
+    df = spark.createDataFrame([(i, simhash.signed(f)) for i, f in enumerate(fps)], "node long, fp long")
+    every = {(a, b) for a, b in combinations(range(len(fps)), 2) if (fps[a] ^ fps[b]).bit_count() <= 2}
+    for blocks, most in ((None, 64), (4, 1), (5, 2), (6, 64)):
+        links = simhash.hamming_links(df, scratch, blocks=blocks, most=most)
+        said = [(r.a, r.b) for r in links.collect()]
+        assert set(said) <= every and (most < 64 or sorted(said) == sorted(every))  # each once, where blocks are paired
+        got = {r.node: r.component for r in components(links, scratch).collect()}
+        assert {n: got.get(n, n) for n in want} == want
+
+
+def test_a_crowded_block_is_linked_without_pairs(spark):
+    """Half of the bits are shared by all, so one block holds every fingerprint."""
+    rng = np.random.default_rng(6)
+    fps = sorted({int(x) << 32 | 0x1234 for x in rng.integers(0, 1 << 11, 700)})
+    want = roots(range(len(fps)), [(a, b) for a, b in combinations(range(len(fps)), 2) if (fps[a] ^ fps[b]).bit_count() <= 2])
+    df = spark.createDataFrame([(i, simhash.signed(f)) for i, f in enumerate(fps)], "node long, fp long")
+    links = simhash.hamming_links(df, Scratch(spark))
+    assert links.count() < 66 * len(fps)
+    got = {r.node: r.component for r in components(links, Scratch(spark)).collect()}
     assert {n: got.get(n, n) for n in want} == want
 
 
@@ -59,6 +76,17 @@ def test_components_of_chains_and_stars(spark):
     assert got == want
 
 
+def test_hot_keys_are_broadcast_and_others_shuffled(spark, monkeypatch):
+    from quillspark.llm import common
+
+    rows = [(k, i) for i, k in enumerate([1] * 50 + [2] * 3 + [3, 4, 5])]
+    facts = [(k, sum(x == k for x, _ in rows), k * 10) for k in range(1, 6)]
+    for share in (1e-4, 0.2, 1.0):
+        monkeypatch.setattr(common, "HOT", share)
+        got = common.join_copies(spark.createDataFrame(rows, "k long, i long"), spark.createDataFrame(facts, "k long, copies long, v long"), "k")
+        assert sorted((r.i, r.v) for r in got.collect()) == sorted((i, k * 10) for k, i in rows)
+
+
 def test_awkward_rows(docs, no_docs):
     got = simhash.near_components(docs).toPandas()
     by = got[got.doc_id.notna()].drop_duplicates("doc_id").set_index("doc_id")
