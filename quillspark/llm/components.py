@@ -19,15 +19,16 @@ def _least(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     return out
 
 
+def stars(edges: DataFrame) -> bool:
+    """Has every node at most one edge up, and those that have one none that ends in them?"""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(edges.select(F.col("v").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    return ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 OR up = 1 AND down = 1").isEmpty()
+
+
 def components(links: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, component) of every node in links (columns a, b): the component is its smallest node."""
     edges = scratch.keep(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
-    said = None
-    while True:
-        state = edges.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0)).alias("s")).first()
-        if (state["n"], state["s"]) == said or not state["n"]:
-            break
-        said = (state["n"], state["s"])
+    while not stars(edges):
         both = edges.select(F.col("u").alias("x"), F.col("v").alias("y")).unionByName(edges.select(F.col("v").alias("x"), F.col("u").alias("y")))
         # large star: a node's larger neighbours go to the least of its neighbourhood
         large = both.where("y > x").join(_least(both, scratch, "large"), "x").select(F.col("y").alias("x"), F.col("m").alias("y")).distinct()
@@ -37,5 +38,7 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
         pairs = small.select(F.explode(F.array(F.struct(F.col("x").alias("u"), F.col("m").alias("v")), F.struct(F.col("y").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v")
         edges = scratch.keep(pairs.distinct(), "edges")
         scratch.forget("edges", 1)
-        scratch.forget("stars")
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component"))).groupBy("node").agg(F.min("component").alias("component"))
+        for name in ("stars", "large", "small"):
+            scratch.forget(name)
+    # each node above stands once, and each root as often as it has nodes
+    return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

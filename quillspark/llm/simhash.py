@@ -9,13 +9,6 @@ of edited copies do, are not paired: two fingerprints differ in at most two bits
 both in at most one, so each sends itself to the 65 such words, and the at most 65 that meet at a word are linked to the
 least. Neither step grows with the square of a group, and both are exact.
 
-Near duplicates by shingle similarity (`near_duplicates`) use the same idea on the shingle set: it is cut into
-blocks by hash, close documents share a whole block, documents are joined on equal blocks and verified by the
-Jaccard similarity of their complete shingle sets. That finds most links at a low price but not all. What it
-leaves apart is then joined exactly: in the order of their hashes, two sets with a similarity s share one of the
-first n - ceil(s n) + 1 shingles of each (the prefix filter), so groups not linked yet meet at the shingles of
-their prefixes. The groups are those of all pairs.
-
 Null and empty texts have fingerprint zero and are linked like any other. Ties and repeated rows share their
 fingerprint and component. A null doc_id has no order: it gets its component's smallest doc_id. Texts may be of
 any length (shingles are counted in blocks). An empty table gives an empty result.
@@ -23,15 +16,12 @@ any length (shingles are counted in blocks). An empty table gives an empty resul
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
-from itertools import combinations, groupby, pairwise
-from operator import itemgetter
+from itertools import combinations, pairwise
 
 import numpy as np
-import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, join_copies, map_rows, words
@@ -118,236 +108,3 @@ def near_components(docs: DataFrame, *, shingle: int = 3) -> DataFrame:
     found = components(hamming_links(distinct.where("node is not null"), scratch), scratch)
     of_fp = scratch.keep(distinct.join(found, "node", "left").select("fp", "copies", F.coalesce("component", F.col("node")).alias("component_id")), "of")
     return join_copies(marked, of_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-# Near duplicates by shingle similarity
-
-
-def level(n: int) -> int:
-    """Power of two of the number of blocks for n shingles, about four in a block."""
-    return max(0, (max(n, 1) // 4).bit_length())
-
-
-PICKED, HUBS, FEW = 16, 64, 100
-SKETCH_BITS, SPLIT = 512, 512
-
-
-def comparable(n: str, m: str, least: float) -> Column:
-    """Can sets of these sizes have a Jaccard similarity of `least`?"""
-    return F.least(n, m) >= F.lit(least) * F.greatest(n, m) - 1e-9
-
-
-def set_blocks(found: np.ndarray) -> list[int]:
-    """Keys of the blocks of a sorted set of shingle hashes, at its size's level and the next lower.
-
-    At level k a shingle belongs to block (hash mod 2^k); of them the first 16 that are not empty by a fixed
-    order are used. Two sets with a Jaccard similarity s share a block of m shingles with probability about s^m.
-    """
-    keys: list[int] = []
-    mixed = found * np.uint64(0x9E3779B97F4A7C15)
-    for k in {level(len(found)), max(0, level(len(found)) - 1)}:
-        block = (found & np.uint64((1 << k) - 1)).astype(np.int64)
-        chosen = block < PICKED
-        sums = np.zeros(min(PICKED, 1 << k), np.uint64)
-        np.add.at(sums, block[chosen], mixed[chosen])
-        for b in np.unique(block[chosen]).tolist():
-            keys.append(signed(xxhash.xxh64_intdigest(int(sums[b]).to_bytes(8, "little") + bytes([k, b]), 7)))
-    return keys
-
-
-def similarity(a: bytes, b: bytes) -> float:
-    """Jaccard similarity of two sorted sets of 64-bit hashes."""
-    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
-    both = len(np.intersect1d(x, y, assume_unique=True))
-    return both / max(1, len(x) + len(y) - both)
-
-
-def prefix(found: np.ndarray, least: float) -> bytes:
-    """The first shingles of a sorted set; sets with a similarity of `least` share one of them."""
-    return found[: len(found) - math.ceil(least * len(found) - 1e-9) + 1].tobytes()
-
-
-def sketch(found: np.ndarray) -> bytes:
-    """The parity of the number of shingles in each of 512 or more classes, at least twice as many as shingles.
-
-    Sets differ in as many shingles as their sketches in bits, or more.
-    """
-    bits = max(SKETCH_BITS, 1 << (2 * len(found)).bit_length())
-    counts = np.bincount((found & np.uint64(bits - 1)).astype(np.int64), minlength=bits)
-    return np.packbits(counts & 1).tobytes()
-
-
-def folded(wide: bytes, size: int) -> np.ndarray:
-    """A sketch of `size` bytes, of fewer classes."""
-    return np.bitwise_xor.reduce(np.frombuffer(wide, np.uint64).reshape(-1, size // 8), 0)
-
-
-def difference(a: bytes, b: bytes) -> int:
-    """Bits in which two sketches differ, the wider one folded."""
-    size = min(len(a), len(b))
-    return int(np.bitwise_count(folded(a, size) ^ folded(b, size)).sum(dtype=np.int64))
-
-
-def meetings(rows: Iterator[tuple], least: float) -> Iterator[tuple]:
-    """Pairs (a, b) and the difference of their short sketches, of rows sorted by cell: in a cell those on the left meet all others.
-
-    Left out are pairs of one group, and those whose sizes or sketches rule out the similarity.
-    """
-    share = (1 - least) / (1 + least)
-    for _, cell in groupby(rows, itemgetter(0, 1, 2)):
-        left, right = [], []
-        for row in cell:
-            (left if row[3] else right).append(row[4:])
-        if len(left) * len(right) <= 64:
-            right_bits = [int.from_bytes(r[3]) for r in right]
-            for a, ga, n, x in left:
-                x = int.from_bytes(x)
-                for (b, gb, m, _), y in zip(right, right_bits, strict=True):
-                    if ga != gb and min(n, m) >= least * max(n, m) - 1e-9 and (h := (x ^ y).bit_count()) <= share * (n + m) + 1e-9:
-                        yield min(a, b), max(a, b), h
-            continue
-        b, gb, m = (np.array(c, np.int64) for c in list(zip(*right, strict=True))[:3])
-        y = np.frombuffer(b"".join(r[3] for r in right), np.uint64).reshape(len(right), -1)
-        for a, ga, n, x in left:
-            at = np.flatnonzero((gb != ga) & (np.minimum(m, n) >= least * np.maximum(m, n) - 1e-9))
-            h = np.bitwise_count(y[at] ^ np.frombuffer(x, np.uint64)).sum(1, dtype=np.int64)
-            near = h <= share * (m[at] + n) + 1e-9
-            for other, d in zip(b[at[near]].tolist(), h[near].tolist(), strict=True):
-                yield min(a, other), max(a, other), d
-
-
-def apart(described: DataFrame, grouped: DataFrame, scratch: Scratch, least: float) -> DataFrame:
-    """Pairs (a, b) of different groups that may have the similarity, with h, the difference of their sketches.
-
-    At a shingle, all that are not of its most frequent group meet all others. Frequent shingles are split into
-    cells of about `SPLIT` documents on each side, so no shingle is one task and the largest group costs its size.
-    """
-    known = scratch.keep(described.join(grouped, (F.col("set_id") == F.col("_set")) & (F.col("doc_id") == F.col("node")) & (F.col("digest") == F.col("_digest"))).select("node", "component", "n", "sketch", "wide", "prefix").dropDuplicates(["node"]), "known")
-
-    def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for first in range(0, whole.num_rows, 256):
-                batch = whole.slice(first, 256)
-                parts = batch.column(2).to_pylist()
-                times = [len(x) // 8 for x in parts]
-                node, group = (np.repeat(batch.column(i).to_numpy(zero_copy_only=False), times) for i in (0, 1))
-                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(parts), np.int64)), pa.array(node), pa.array(group)], names=["token", "node", "component"])
-
-    postings = known.select("node", "component", "prefix").mapInArrow(expand, "token long, node long, component long")
-    # shingles of more than one group
-    tokens = scratch.keep(postings.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("token"), "tokens")
-    shared = scratch.keep(postings.join(tokens, "token"), "postings")
-    counted = shared.groupBy("token", "component").agg(F.count("*").alias("k"))
-    tops = counted.groupBy("token").agg(F.max_by("component", F.struct("k", "component")).alias("top"), F.sum("k").alias("all"), (F.sum("k") - F.max("k")).alias("others"))
-    tops = scratch.keep(tops.select("token", "top", F.ceil(F.col("others") / SPLIT).alias("rows"), F.ceil(F.col("all") / SPLIT).alias("columns")), "tops")
-    facts = known.select("node", "n", "sketch")
-    met = shared.join(tops, "token").join(facts, "node")
-    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    own = lambda n: F.pmod(F.xxhash64("node"), F.col(n))
-    columns = ["node", "component", "n", "sketch"]
-    left = met.where("component <> top").select("token", own("rows").alias("i"), each("columns").alias("j"), F.lit(True).alias("left"), *columns)
-    right = met.select("token", each("rows").alias("i"), own("columns").alias("j"), F.lit(False).alias("left"), *columns)
-    cells = left.unionByName(right).repartition("token", "i", "j").sortWithinPartitions("token", "i", "j")
-    pairs = scratch.keep(map_rows(cells, lambda rows: meetings(rows, least), "a long, b long, h int").select("a", "b").distinct(), "pairs")
-    share = (1 - least) / (1 + least)
-
-    def run(some: Iterator[tuple]) -> Iterator[tuple]:
-        for a, b, n, m, x, y in some:
-            if (h := difference(x, y)) <= share * (n + m) + 1e-9:
-                yield a, b, h
-
-    side = lambda node, n, wide: known.select(F.col("node").alias(node), F.col("n").alias(n), F.col("wide").alias(wide))
-    wide = pairs.join(side("a", "n", "x"), "a").join(side("b", "m", "y"), "b").select("a", "b", "n", "m", "x", "y")
-    return scratch.keep(map_rows(wide, run, "a long, b long, h int"), "apart")
-
-
-def near_duplicates(docs: DataFrame, *, shingle: int = 5, least: float = 0.8, small: int = 8) -> DataFrame:
-    """doc_id, digest (xxhash64 of the text), component_id, links by Jaccard similarity of word shingles >= least.
-
-    Blocks of up to `small` documents compare all their pairs. In larger ones all are compared with the
-    document whose blocks are the most frequent, which is the one that edited copies share most with; those not
-    linked to it go on as a block of their own, until all blocks are small. From the second round on a block has
-    up to 8, then up to `HUBS` such documents at a time, so that few rounds are needed where little is linked.
-    Sets whose sizes alone rule out the similarity are not compared. A round with few links is the last.
-
-    A pair may share no block, or leave a block with different hubs. So all pairs that the groups found so far leave
-    apart and that share a shingle of their prefixes are compared too, each document's nearest by sketch first.
-    """
-    scratch = Scratch(docs.sparkSession)
-
-    def describe(rows: Iterator[tuple]) -> Iterator[tuple]:
-        for doc_id, digest, text in rows:
-            found = np.unique(hashes(text or b"", shingle))
-            wide = sketch(found)
-            yield doc_id, digest, xxhash.xxh3_64_intdigest(found.tobytes()) >> 1, set_blocks(found), len(found), prefix(found, least), folded(wide, SKETCH_BITS // 8).tobytes(), wide
-
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("digest"), "text")
-    rows = scratch.keep(map_rows(source, describe, "doc_id long, digest long, set_id long, keys array<long>, n int, prefix binary, sketch binary, wide binary", binary=("text",)), "sets")
-    # equal sets are one node, named by a row that has it
-    nodes = scratch.keep(rows.where("doc_id is not null").groupBy("set_id").agg(F.min(F.struct("doc_id", "digest", "keys", "n")).alias("r")).select("set_id", F.col("r.doc_id").alias("node"), F.col("r.digest").alias("digest"), F.col("r.keys").alias("keys"), F.col("r.n").alias("n")), "nodes")
-    keyed = nodes.select("node", "n", F.explode("keys").alias("key"))
-    shared = scratch.keep(keyed.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "shared")
-    blocks = scratch.keep(keyed.join(shared, "key"), "blocks")
-
-    def gather(some: Iterator[tuple]) -> Iterator[tuple]:
-        for node, text in some:
-            yield node, np.unique(hashes(text or b"", shingle)).tobytes()
-
-    def sets_of(involved: DataFrame) -> DataFrame:
-        wanted = nodes.select("node", "digest").join(involved.distinct(), "node").select(F.col("node").alias("_node"), F.col("digest").alias("_digest")).hint("shuffle_hash")
-        texts = source.join(wanted, (F.col("doc_id") == F.col("_node")) & (F.col("digest") == F.col("_digest"))).select("doc_id", "text")
-        return scratch.keep(map_rows(texts, gather, "node long, shingles binary", binary=("text",)), "shingles")
-
-    sets = sets_of(blocks.select("node"))
-
-    def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-        def run(some: Iterator[tuple]) -> Iterator[tuple]:
-            for a, b, x, y in some:
-                if similarity(x, y) >= least:
-                    yield a, b
-
-        left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
-        right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
-        return map_rows(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y"), run, "a long, b long")
-
-    links, spread = [], 1
-    while True:
-        few = blocks.where(F.col("size") <= small).groupBy("key").agg(F.array_sort(F.collect_set(F.struct("node", "n"))).alias("nodes"))
-        pairs = few.select("nodes", F.posexplode("nodes").alias("i", "a")).select("a", F.explode(F.slice("nodes", F.col("i") + 2, small)).alias("b")).where(comparable("a.n", "b.n", least)).select("a.node", F.col("b.node").alias("b")).toDF("a", "b").distinct()
-        links.append(scratch.keep(verified(pairs, sets), "links"))
-        large = blocks.where(F.col("size") > small)
-        if large.isEmpty():
-            break
-        weight = scratch.keep(large.groupBy("node").agg(F.sum("size").alias("popular")), "popular")
-        # one hub from each of `spread` hash classes of the block: partial maxima, whatever the block's size
-        dealt = large.join(weight, "node").groupBy("key", F.pmod(F.xxhash64("node"), F.lit(spread)).alias("class"))
-        hubs = dealt.agg(F.max_by(F.struct("node", "n"), F.struct("popular", -F.col("node"))).alias("h")).select("key", F.col("h.node").alias("hub"), F.col("h.n").alias("hub_n"))
-        hubs = scratch.keep(hubs, "hubs")
-        met = large.join(hubs, "key").where("node <> hub").where(comparable("n", "hub_n", least))
-        linked = scratch.keep(verified(met.select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), sets), "links")
-        links.append(linked)
-        if linked.count() < FEW:
-            break
-        done = linked.select(F.col("a").alias("hub"), F.col("b").alias("node"))
-        gone = met.select("key", "hub", "node").join(done, ["hub", "node"], "left_semi").select("key", "node").unionByName(hubs.select("key", F.col("hub").alias("node"))).distinct()
-        rest = scratch.keep(large.join(gone, ["key", "node"], "left_anti").select("node", "n", "key"), "rest")
-        sizes = scratch.keep(rest.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "sizes")
-        blocks = scratch.keep(rest.join(sizes, "key"), "blocks")
-        spread = min(spread * 8, HUBS)
-    every = links[0]
-    for more in links[1:]:
-        every = every.unionByName(more)
-    found = scratch.keep(components(every, scratch), "groups")
-    grouped = nodes.join(found, "node", "left").select(F.col("set_id").alias("_set"), "node", F.col("digest").alias("_digest"), F.coalesce("component", F.col("node")).alias("component"))
-    far = apart(rows, grouped, scratch, least)
-    if not far.isEmpty():
-        sets = sets_of(far.select(F.explode(F.array("a", "b")).alias("node")))
-        closest = scratch.keep(far.groupBy("a").agg(F.min_by("b", F.struct("h", "b")).alias("b")).unionByName(far.groupBy("b").agg(F.min_by("a", F.struct("h", "a")).alias("a")).select("a", "b")).distinct(), "closest")
-        said = found.toDF("a", "b").unionByName(scratch.keep(verified(closest, sets), "links"))
-        found = scratch.keep(components(said, scratch), "groups")
-        group = lambda side: found.select(F.col("node").alias(side), F.col("component").alias(f"of_{side}"))
-        left = far.join(closest, ["a", "b"], "left_anti").join(group("a"), "a", "left").join(group("b"), "b", "left")
-        left = left.where("coalesce(of_a, a) <> coalesce(of_b, b)").select("a", "b")
-        found = components(said.unionByName(scratch.keep(verified(left, sets), "links")), scratch)
-    of_set = scratch.keep(nodes.join(found, "node", "left").select("set_id", F.coalesce("component", F.col("node")).alias("component_id")), "of")
-    return rows.select("doc_id", "digest", "set_id").join(of_set, "set_id", "left").select("doc_id", "digest", "component_id")

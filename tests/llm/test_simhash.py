@@ -92,58 +92,3 @@ def test_awkward_rows(docs, no_docs):
     by = got[got.doc_id.notna()].drop_duplicates("doc_id").set_index("doc_id")
     assert len(got) == 10 and by.component_id[2] == 1 and by.component_id[3] == by.component_id[4] == by.component_id[5] == 3
     assert by.fingerprint[3] == "0" * 16 and simhash.near_components(no_docs).count() == 0
-
-
-def test_near_duplicates_equal_brute_force(spark, sf_dir):
-    docs = queries.table(spark, sf_dir.replace("0.001", "0.01"), "documents")
-    rows = docs.toPandas()
-    sets = {d: frozenset(simhash.hashes(t.encode(), 5).tolist()) for d, t in zip(rows.doc_id, rows.text, strict=True)}
-    links = [(a, b) for a, b in combinations(sets, 2) if min(len(sets[a]), len(sets[b])) >= 0.8 * max(len(sets[a]), len(sets[b])) and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
-    want = roots(sets, links)
-    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs).collect()}
-    assert set(got) == set(want) and sum(got[d] != want[d] for d in want) <= 0.02 * sum(want[d] != d for d in want)
-    assert all(roots(sets, links)[d] == want[got[d]] for d in got)
-
-
-def test_near_duplicates_of_one_base(spark):
-    rng = np.random.default_rng(1)
-    base = [f"w{i}" for i in range(200)]
-    rows = [(1000, " ".join(base))]
-    for i in range(300):
-        w = list(base)
-        for at in rng.choice(200, 4, replace=False):
-            w[at] = f"e{rng.integers(1 << 30)}"
-        rows.append((i, " ".join(w)))
-    got = simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    assert {r.component_id for r in got} == {0}
-
-
-def test_near_duplicates_awkward(docs, no_docs):
-    got = simhash.near_duplicates(docs).toPandas()
-    assert len(got) == 10 and simhash.near_duplicates(no_docs).count() == 0
-
-
-def all_pairs(rows):
-    sets = {d: frozenset(simhash.hashes(t.encode(), 5).tolist()) for d, t in rows}
-    return roots(sets, [(a, b) for a, b in combinations(sets, 2) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])])
-
-
-def test_near_duplicates_of_an_absent_base(spark):
-    rng = np.random.default_rng(2)
-    rows = []
-    for i, (length, most) in enumerate([(100, 2)] * 700 + [(200, 4)] * 700):
-        w = [f"w{length}x{k}" for k in range(length)]
-        for at in rng.choice(length, rng.integers(1, most + 1), replace=False):
-            w[at] = f"e{rng.integers(1 << 30)}"
-        rows.append((i, " ".join(w)))
-    got = simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    assert {r.doc_id: r.component_id for r in got} == all_pairs(rows)
-
-
-def test_near_duplicates_of_short_texts(spark):
-    rows = []
-    for i in range(900):
-        text = " ".join(f"p{i}x{k}" for k in range(8 + i % 3))
-        rows += [(2 * i, text), (2 * i + 1, f"{text} more")]
-    got = simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    assert all(r.component_id == r.doc_id // 2 * 2 for r in got)
