@@ -26,9 +26,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; only where the session names none (tests), one of our own."""
+    """The folder in spark.checkpoint.dir; only where the session names none and runs in one process (tests), one of our own."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     app = spark.sparkContext.applicationId
+    if not base and not spark.sparkContext.master.startswith("local") or not base and "local-cluster" in spark.sparkContext.master:
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if app not in _local:
         _local[app] = f"{(base or 'file://' + tempfile.mkdtemp(prefix='quill-')).rstrip('/')}/quill-{app}"
         atexit.register(drop, spark, _local[app])
@@ -45,9 +47,48 @@ def drop(spark: SparkSession, path: str) -> None:
         pass
 
 
+_made: dict[str, list[str]] = {}
+
+
+def stage(fn):
+    """A step of a chain each of which is written before the next begins: what the step before left is deleted first."""
+
+    def run(spark: SparkSession, *rest):
+        app = spark.sparkContext.applicationId
+        for path in _made.pop(app, []):
+            drop(spark, path)
+        Scratch.log = made = []
+        try:
+            return fn(spark, *rest)
+        finally:
+            Scratch.log = None
+            _made[app] = made
+
+    run.__name__, run.__doc__ = fn.__name__, fn.__doc__
+    return run
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names that no column has, whatever its case: the given ones, with as many underscores as that takes."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        out.append(name)
+        taken.add(name.lower())
+    return out
+
+
+def schema_of(df: DataFrame, *more: str) -> str:
+    """The columns' names and types, and some more, as map_rows takes them."""
+    return ", ".join([*(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in df.schema), *more])
+
+
 class Scratch:
     """Tables written to the shared folder, so that a lost executor costs no more than the running stage."""
 
+    log: list[str] | None = None
+
     def __init__(self, spark: SparkSession):
         self.spark, self.paths = spark, {}
 
@@ -56,6 +97,8 @@ class Scratch:
         writer = df.write.option("compression", "zstd")
         (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
         self.paths.setdefault(name, []).append(path)
+        if Scratch.log is not None:
+            Scratch.log.append(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def forget(self, name: str, but: int = 0) -> None:

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, Scratch, map_rows
+from .common import LOWER, Scratch, fresh, map_rows, schema_of
 
 SPACE = b" \t\n\x0b\x0c\r"
 
@@ -141,10 +141,11 @@ def kept_text(text: bytes, keep: bytes | None) -> bytes:
     return b"\n".join(line for line, bit in zip(lines, np.unpackbits(np.frombuffer(zlib.decompress(keep), np.uint8))[: len(lines)], strict=True) if bit)
 
 
-def with_bitmaps(docs: DataFrame, bitmaps: DataFrame, *, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """Documents with their bitmap in a column `_keep`, null where all lines stay: one shuffle of the texts, the bitmaps are the hashed side."""
-    marks = bitmaps.select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"), F.col("keep").alias("_keep")).hint("shuffle_hash")
-    return docs.join(marks, F.col(id_column).cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(text_column) == F.col("_digest")), "left").drop("_id", "_digest")
+def with_bitmaps(docs: DataFrame, bitmaps: DataFrame, keep: str, *, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """Documents with their bitmap in a column named by `keep`, null where all lines stay: one shuffle of the texts, the bitmaps are the hashed side."""
+    of, text = fresh(docs, "of", "digest")
+    marks = bitmaps.select(F.col("doc_id").alias(of), F.col("digest").alias(text), F.col("keep").alias(keep)).hint("shuffle_hash")
+    return docs.join(marks, F.col(id_column).cast("long").eqNullSafe(F.col(of)) & (F.xxhash64(text_column) == F.col(text)), "left").drop(of, text)
 
 
 def digest(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
@@ -158,7 +159,7 @@ def digest(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
             stay = n if keep is None else int(np.unpackbits(np.frombuffer(zlib.decompress(keep), np.uint8))[:n].sum())
             yield doc_id, n, n - stay, hashlib.sha256(kept).hexdigest()
 
-    joined = with_bitmaps(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), bitmaps)
+    joined = with_bitmaps(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), bitmaps, "keep")
     return map_rows(joined, run, "doc_id long, n_lines long, n_dropped long, kept_sha256 string", binary=("text",))
 
 
@@ -173,6 +174,6 @@ def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
                 row[at] = kept_text((row[at] or b""), keep)
             yield tuple(row[:at]) + ((None if row[at] is None else row[at].decode()),) + tuple(row[at + 1 :])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    out = map_rows(with_bitmaps(docs, bitmaps), run, schema, binary=("text",))
+    (keep,) = fresh(docs, "keep")
+    out = map_rows(with_bitmaps(docs, bitmaps, keep), run, schema_of(docs), binary=("text",))
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in names else out

@@ -7,8 +7,11 @@ source is found from counts per chunk of slots, so no source's slots or document
 get their place in the source from sums over hash ranges.
 
 Sizes count words; null text has none. Sources sort by code point, null last. A target is a source's share of
-all words by weight, at most `most` times its size, the excess shared anew by weight. Ties in the shuffle go by
-doc_id and size; repeated rows each have a place of their own. An empty table gives an empty result.
+all words by weight, at most `most` times its size, the excess shared anew by weight. Rows that nothing tells apart
+(for `mix_documents` source, doc_id and size, for `mix_rows` all columns) are counted and numbered, so ties, repeated
+rows and null ids spread over the shuffle like any others; reruns agree whatever the partitioning. Texts may be of any
+length: a document has one row for each block it touches. Null text, source or doc_id are values like others. An empty
+table gives an empty result; `mix_rows` returns all columns, whatever their names.
 What the driver holds is one row per source, as the weights themselves are.
 """
 
@@ -18,12 +21,14 @@ from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, map_rows
+from .common import Scratch, fresh, map_rows
 
 BLOCK, CHUNK, RANGE_ROWS, PHI = 256, 4096, 1000, 0.6180339887498949
+#: Sources that are few enough to be broadcast, and equal rows that one task numbers at a time.
+FEW_SOURCES, RUN = 100_000, 10_000
 WORDS = r"[^\x20\x09-\x0D]+"
 
 
@@ -64,10 +69,23 @@ def targets(sizes: list[int], weights: list[float], most: float = 3.0) -> list[f
     return out
 
 
-def sized(docs: DataFrame, *extra: str) -> DataFrame:
-    """doc_id, source, size and the shuffle's place of each document; the text goes no further."""
-    size = F.coalesce(F.expr(f"regexp_count(text, r'{WORDS}')"), F.lit(0)).cast("long")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", size.alias("size"), F.xxhash64("doc_id", F.lit("mix")).alias("place"), *extra)
+def words_in(text: Column) -> Column:
+    return F.coalesce(F.regexp_count(text, F.lit(WORDS)), F.lit(0)).cast("long")
+
+
+def units(rows: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """The counts of equal rows, and source, key, size and nth of rows (source, key, size): equal rows are counted where they lie, and numbered.
+
+    A row that is repeated without end is numbered in runs of `RUN`, dealt over all tasks.
+    """
+    counted = scratch.keep(rows.groupBy("source", "key", "size").agg(F.count("*").alias("copies")), "units")
+    every = lambda first, last: F.explode(F.sequence(first, last))
+    few = counted.where(F.col("copies") <= RUN).select("source", "key", "size", every(F.lit(0).cast("long"), F.col("copies") - 1).alias("nth"))
+    many = counted.where(F.col("copies") > RUN).select("source", "key", "size", "copies", every(F.lit(0).cast("long"), F.floor((F.col("copies") - 1) / RUN)).alias("run"))
+    if many.isEmpty():
+        return counted, few
+    many = many.repartition("key", "run").select("source", "key", "size", every(F.col("run") * RUN, F.least(F.col("copies"), (F.col("run") + 1) * RUN) - 1).alias("nth"))
+    return counted, few.unionByName(many)
 
 
 def quotas(documents: DataFrame, weights: list[float] | None = None, block: int = BLOCK, most: float = 3.0) -> list[Quota]:
@@ -83,19 +101,27 @@ def sources_frame(spark: SparkSession, found: list[Quota]) -> DataFrame:
     return spark.createDataFrame([(q.rank, q.source, q.size, float(q.target), q.words, q.blocks, q.epochs, q.rest) for q in found], "rank int, source string, source_size long, target double, source_words long, blocks long, epochs long, rest long")
 
 
-def placed(documents: DataFrame, scratch: Scratch, *extra: str) -> DataFrame:
-    """Documents with `start`, the words of their source before them in the shuffled order."""
-    n = documents.count()
-    ranges = max(1, -(-n // RANGE_ROWS))
+def with_sources(rows: DataFrame, found: list[Quota]) -> DataFrame:
+    """rows with the facts of their source; more than `FEW_SOURCES` of them are not broadcast."""
+    facts = sources_frame(rows.sparkSession, found).withColumnRenamed("source", "_source")
+    return rows.join(F.broadcast(facts) if len(found) <= FEW_SOURCES else facts, rows.source.eqNullSafe(facts._source)).drop("_source")
+
+
+def placed(units: DataFrame, scratch: Scratch) -> DataFrame:
+    """Units with `start`, the words of their source before them in the shuffled order."""
+    units = scratch.keep(units.withColumn("place", F.xxhash64("key", "size", "nth", F.lit("mix"))), "places")
+    n = units.count()
+    ranges = max(1, -(-n // max(RANGE_ROWS, int(n**0.5))))
     width = (1 << 64) // ranges + 1
-    # the hash range that holds the place; each (source, range) has about RANGE_ROWS rows or fewer
+    # the hash range that holds the place; each (source, range) has about a range's share of rows or fewer
     bucket = F.floor((F.col("place").cast("double") + float(1 << 63)) / float(width)).cast("long")
-    keyed = documents.withColumn("bucket", bucket)
+    keyed = units.withColumn("bucket", bucket)
     sums = keyed.groupBy("source", "bucket").agg(F.sum("size").alias("words"))
     before = scratch.keep(sums.withColumn("before", F.sum("words").over(Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))).select(F.col("source").alias("_source"), F.col("bucket").alias("_bucket"), F.coalesce("before", F.lit(0)).alias("before")), "before")
-    inside = Window.partitionBy("source", "bucket").orderBy("place", "doc_id", "size", *extra).rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("source", "bucket").orderBy("place", "key", "size", "nth").rowsBetween(Window.unboundedPreceding, -1)
     run = keyed.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0)))
-    return run.join(before, F.col("source").eqNullSafe(F.col("_source")) & (F.col("bucket") == F.col("_bucket"))).withColumn("start", F.col("before") + F.col("inside")).select("doc_id", "source", "size", "start", *extra)
+    joined = run.join(before.hint("merge"), F.col("source").eqNullSafe(F.col("_source")) & (F.col("bucket") == F.col("_bucket")))
+    return joined.select("source", "key", "size", "nth", (F.col("before") + F.col("inside")).alias("start"))
 
 
 def slot_sources(first: int, n: int, edges: np.ndarray) -> np.ndarray:
@@ -141,25 +167,29 @@ def schedule(spark: SparkSession, found: list[Quota], block: int = BLOCK) -> Dat
 def mix_documents(docs: DataFrame, weights: list[float] | None = None, *, block: int = BLOCK) -> DataFrame:
     """doc_id, source, size, source_size, target, taken: the words of each document that the schedule's slots take."""
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession)
-    documents = scratch.keep(sized(docs), "sized")
-    found = quotas(documents, weights, block)
-    sources = sources_frame(spark, found)
+    rows = scratch.keep(docs.select("source", F.col("doc_id").cast("long").alias("key"), words_in(F.col("text")).alias("size")), "sized")
+    found = quotas(rows, weights, block)
+    ranked = with_sources(placed(units(rows, scratch)[1], scratch), found)
     # one row per block: how often it is taken whole, and how many words of it the source's last slot takes
-    sizes = {q.rank: (q.size, q.blocks) for q in found}
-    used = schedule(spark, found, block)
-    whole = F.least(F.lit(block), F.element_at(F.create_map(*[F.lit(x) for r, (n, _) in sizes.items() for x in (r, n)]), F.col("rank")) - F.col("block") * block) if sizes else F.lit(0)
+    lengths = sources_frame(spark, found).select("rank", "source_size")
+    used = schedule(spark, found, block).join(F.broadcast(lengths) if len(found) <= FEW_SOURCES else lengths, "rank")
+    whole = F.least(F.lit(block), F.col("source_size") - F.col("block") * block)
     uses = used.groupBy("rank", "block").agg(F.sum((F.col("words") == whole).cast("long")).alias("times"), F.max(F.when(F.col("words") < whole, F.col("words"))).alias("cut"))
-    at = placed(documents, scratch)
-    ranked = at.join(F.broadcast(sources), at.source.eqNullSafe(sources.source)).drop(sources.source)
     # a document's words, block by block; its parts come back together by the document's place in its source
-    parts = ranked.where(F.col("size") > 0).select("doc_id", "rank", "size", "start", F.explode(F.sequence(F.floor(F.col("start") / block), F.floor((F.col("start") + F.col("size") - 1) / block))).alias("block"))
+    parts = ranked.where(F.col("size") > 0).select("rank", "size", "start", F.explode(F.sequence(F.floor(F.col("start") / block), F.floor((F.col("start") + F.col("size") - 1) / block))).alias("block"))
     begin = F.greatest(F.col("start") - F.col("block") * block, F.lit(0))
     end = F.least(F.col("start") + F.col("size") - F.col("block") * block, F.lit(block))
     cut = F.greatest(F.lit(0), F.least(end, F.coalesce("cut", F.lit(0))) - begin)
-    taken = parts.join(uses, ["rank", "block"]).select("rank", "start", (F.col("times") * (end - begin) + cut).alias("taken")).groupBy("rank", "start").agg(F.sum("taken").alias("taken"))
+    taken = parts.join(uses.hint("merge"), ["rank", "block"]).select("rank", "start", (F.col("times") * (end - begin) + cut).alias("taken")).groupBy("rank", "start").agg(F.sum("taken").alias("taken"))
     full, empty = ranked.where(F.col("size") > 0), ranked.where(F.col("size") == 0)
-    columns = ["doc_id", "source", "size", "source_size", "target"]
-    return full.join(taken, ["rank", "start"], "left").select(*columns, F.coalesce("taken", F.lit(0)).cast("long").alias("taken")).unionByName(empty.select(*columns, F.lit(0).cast("long").alias("taken")))
+    columns = [F.col("key").alias("doc_id"), "source", "size", "source_size", "target"]
+    return full.join(taken.hint("merge"), ["rank", "start"], "left").select(*columns, F.coalesce("taken", F.lit(0)).cast("long").alias("taken")).unionByName(empty.select(*columns, F.lit(0).cast("long").alias("taken")))
+
+
+def row_key(rows: DataFrame) -> Column:
+    """128 bits of all columns; equal for equal rows."""
+    values = [F.to_json(F.struct(F.col(f"`{f.name}`"))) if "map<" in f.dataType.simpleString() or "variant" in f.dataType.simpleString() else F.col(f"`{f.name}`") for f in rows.schema]
+    return F.struct(F.xxhash64(*values).alias("h"), F.xxhash64(F.lit(1), *values).alias("l"))
 
 
 def mix_rows(docs: DataFrame, weights: list[float] | None = None, *, block: int = BLOCK) -> DataFrame:
@@ -170,24 +200,32 @@ def mix_rows(docs: DataFrame, weights: list[float] | None = None, *, block: int
     Documents without words go with the block that they lie at. A partition holds `CHUNK` slots, in order.
     """
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession)
-    stored = scratch.keep(docs.withColumn("_row", F.monotonically_increasing_id()), "stored")
-    documents = scratch.keep(sized(stored, "_row"), "sized")
-    found = quotas(documents, weights, block)
-    sources = sources_frame(spark, found)
-    used = schedule(spark, found, block).select("rank", "nth", "slot")
-    at = placed(documents, scratch, "_row")
-    ranked = at.join(F.broadcast(sources), at.source.eqNullSafe(sources.source)).drop(sources.source)
+    key, of, slot, start, size, taken = fresh(docs, "key", "of", "slot", "start", "size", "taken")
+    keyed = docs.withColumn(key, row_key(docs))
+    rows = scratch.keep(keyed.select("source", F.col(key).alias("key"), words_in(F.col("text")).alias("size")), "sized")
+    found = quotas(rows, weights, block)
+    counted, numbered = units(rows, scratch)
+    ranked = with_sources(placed(numbered, scratch), found)
     copies = F.col("epochs") + (F.col("start") < F.col("rest")).cast("long")
     each = ranked.withColumn("copies", copies).where("copies > 0").withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)))
-    taken = F.when(F.col("epoch") < F.col("epochs"), F.col("size")).otherwise(F.least("size", F.col("rest") - F.col("start")))
+    words = F.when(F.col("epoch") < F.col("epochs"), F.col("size")).otherwise(F.least("size", F.col("rest") - F.col("start")))
     nth = F.col("epoch") * F.col("blocks") + F.least(F.floor(F.col("start") / block), F.col("blocks") - 1)
-    turns = each.select("rank", nth.alias("nth"), "_row", "start", "size", taken.alias("taken")).join(used, ["rank", "nth"])
-    turns = turns.select(F.col("_row").alias("_of"), F.col("slot").alias("_slot"), F.col("start").alias("_start"), F.col("size").alias("_size"), F.col("taken").alias("_taken"))
-    out = stored.join(turns.hint("shuffle_hash"), F.col("_row") == F.col("_of"))
-    cut, first = F.col("_taken") < F.col("_size"), F.expr(f"slice(regexp_extract_all(text, r'({WORDS}[\\x20\\x09-\\x0D]*)', 1), 1, cast(_taken as int))")
+    used = schedule(spark, found, block).select("rank", "nth", "slot")
+    turns = each.select("rank", nth.alias("nth"), "key", "start", "size", words.alias("taken")).join(used.hint("merge"), ["rank", "nth"])
+    turns = scratch.keep(turns.select(F.col("key").alias(of), F.col("slot").alias(slot), F.col("start").alias(start), F.col("size").alias(size), F.col("taken").alias(taken)), "turns")
+    repeated = scratch.keep(counted.where("copies > 1").select("key").distinct(), "repeated")
+    for name in ("sized", "units", "places", "before"):
+        scratch.forget(name)
+    if not repeated.isEmpty():  # one row stands for all that are equal to it, as each has its turns
+        whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+        marks = repeated.select(F.col("key").alias(of)).hint("shuffle_hash")
+        one = keyed.join(marks, F.col(key) == F.col(of), "left_semi").groupBy(key).agg(F.first(whole).alias(of)).select(f"{of}.*", key)
+        keyed = keyed.join(marks, F.col(key) == F.col(of), "left_anti").unionByName(one)
+    out = keyed.join(turns.hint("shuffle_hash"), F.col(key) == F.col(of))
+    cut, first = F.col(taken) < F.col(size), F.expr(f"slice(regexp_extract_all(text, r'({WORDS}[\\x20\\x09-\\x0D]*)', 1), 1, cast({taken} as int))")
     out = out.withColumn("text", F.when(cut, F.array_join(first, "")).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(cut, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     chunks = max(1, -(-sum(q.slots(block) for q in found) // CHUNK) + 2)
-    chunk = F.floor(F.col("_slot") / CHUNK).cast("int")
-    return out.repartitionById(chunks, chunk).sortWithinPartitions("_slot", "_start", "_size", "_row").select(*docs.columns)
+    chunk = F.floor(F.col(slot) / CHUNK).cast("int")
+    return out.repartitionById(chunks, chunk).sortWithinPartitions(slot, start, size, key).select(*[F.col(f"`{c}`") for c in docs.columns])

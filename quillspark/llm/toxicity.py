@@ -17,10 +17,11 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -267,17 +268,40 @@ def learn(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE, lexicon:
     return Model(terms, stems, strict, fit_logistic((x - mean) / sd, y), mean.tolist(), sd.tolist())
 
 
-def score(docs: DataFrame, model: Model, *, extra: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, score (and columns named in `extra`, as they are) of every whole text: a narrow job."""
+def score(docs: DataFrame, model: Model) -> DataFrame:
+    """doc_id and score of every whole text: a narrow job."""
+    scorer = scorer_of(model)
 
     def run(batch: Iterator[tuple]) -> Iterator[tuple]:
+        p = scorer()
+        for doc_id, text in batch:
+            yield doc_id, p(text or "")
+
+    return map_rows(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, score double")
+
+
+def scored_rows(docs: DataFrame, model: Model) -> DataFrame:
+    """Every row, all its columns in `row`, with its score: a narrow job."""
+    scorer, at, schema = scorer_of(model), docs.columns.index("text"), ", ".join(f"`{f.name.replace('`', '``')}`: {f.dataType.simpleString()}" for f in docs.schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        p = scorer()
+        for batch in batches:
+            scores = pa.array([p(text or "") for text in batch.column(at).to_pylist()], pa.float64())
+            row = pa.StructArray.from_arrays(batch.columns, fields=list(batch.schema))
+            yield pa.RecordBatch.from_arrays([row, scores], names=["row", "score"])
+
+    return docs.mapInArrow(run, f"row struct<{schema}>, score double")
+
+
+def scorer_of(model: Model) -> Callable[[], Callable[[str], float]]:
+    """What makes, in a worker, a function of texts to scores."""
+
+    def make() -> Callable[[str], float]:
         scorer, mean, sd, beta = Scorer(model.terms, model.stems, model.strict), np.array(model.mean), np.array(model.sd), model.beta
-        for doc_id, text, *rest in batch:
-            p = float(logistic(beta, (np.array([scorer.features(text or "")]) - mean) / sd)[0])
-            yield doc_id, p, *rest
+        return lambda text: float(logistic(beta, (np.array([scorer.features(text)]) - mean) / sd)[0])
 
-    more = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in extra)
-    return map_rows(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *[F.col(f.name) for f in docs.schema if f.name in extra]), run, "doc_id long, score double" + more)
+    return make
 
 
 def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:

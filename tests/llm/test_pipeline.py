@@ -1,8 +1,10 @@
 import corpus_pipeline
 import pytest
+from pyspark.sql import functions as F
 
-from quillspark.llm import queries, simhash
+from quillspark.llm import queries, setjoin
 from tests.llm.test_linededup import key
+from tests.llm.test_setjoin import brute_set
 
 
 def stages(spark, docs, sf_dir, tmp_path):
@@ -27,7 +29,7 @@ def test_stages(spark, sf_dir, tmp_path):
             where.setdefault(key(line), set()).add(d)
     assert b.text.tolist() == ["\n".join(x for x in t.split("\n") if not key(x) or len(where[key(x)]) < 10) for t in a.text]
     assert (b.n_chars == b.text.str.len()).all() and len(c) < len(b)
-    sets = {d: set(simhash.hashes(t.encode(), 5).tolist()) for d, t in zip(b.doc_id, b.text, strict=True)}
+    sets = {d: brute_set(t) for d, t in zip(b.doc_id, b.text, strict=True)}
     kept = set(c.doc_id)
     for d in set(b.doc_id) - kept:  # what goes is near something of its group
         assert any(len(sets[d] & s) >= 0.8 * len(sets[d] | s) for k, s in sets.items() if k != d)
@@ -37,9 +39,17 @@ def test_stages(spark, sf_dir, tmp_path):
 
 
 def test_awkward_rows(spark, docs, no_docs, sf_dir, tmp_path):
-    keep = ["doc_id", "text", "lang", "source", "n_chars"]
-    assert stages(spark, docs.select(*keep), sf_dir, tmp_path / "a")[-1].count() > 0
-    assert stages(spark, no_docs.select(*keep), sf_dir, tmp_path / "b")[-1].count() == 0
+    """All columns of the fixture, and more whose names the stages use themselves."""
+    more = ["score", "_id", "_n", "_keep", "keep", "of", "digest", "_digest", "size", "start", "slot", "row", "rows", "component_id", "copies", "Key2", "place", "epoch"]
+    clash = lambda df: df.withColumns({c: F.lit(c) for c in more}).withColumn("m", F.create_map(F.lit("k"), F.col("doc_id")))
+    for name, df in (("plain", docs), ("clash", clash(docs)), ("none", clash(no_docs))):
+        out = stages(spark, df, sf_dir, tmp_path / name)
+        assert all(x.columns == df.columns and x.dtypes == df.dtypes for x in out[:-1])
+        assert (out[-1].count() > 0) == (name != "none")
+        if name == "clash":
+            assert all(r.score == "score" and r._keep == "_keep" and r.m == {"k": r.doc_id} for x in out[:-1] for r in x.collect())
+            left = {(r.doc_id, r.text) for r in out[3].collect()}
+            assert len(left) == out[3].count() and {(4, ""), (None, "no id here")} & left
 
 
 def test_registered(spark, sf_dir):
@@ -51,7 +61,7 @@ def test_registered(spark, sf_dir):
 def test_every_set_size_has_blocks(n):
     import numpy as np
 
-    assert simhash.set_blocks(np.arange(n, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    assert setjoin.set_blocks(np.arange(n, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
 def test_one_row_of_each_group(spark, sf_dir):
