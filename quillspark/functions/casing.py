@@ -7,18 +7,19 @@ import re
 from .latex import Piece
 
 WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
-COMPOUND = re.compile(rf"{WORD.pattern}(?:-{WORD.pattern})*")
+#: A word with its hyphens, digits and soft hyphens, as one.
+COMPOUND = re.compile(r"[^\W_](?:[^\W_]|[-'’\u00ad](?=[^\W_]))*")
+#: Words that stand in lower case in either style, so they say nothing of it.
+SMALL = frozenset("a an the and or but nor for of on in to at by with from as into onto over under via per vs than that upon about between through during without within toward towards against among is it its".split())
 #: A capital after one of these stays: a colon and white space, or a full stop after a digit.
 RESTART = re.compile(r":\s|[0-9]\.\s")
 SPAN = ('<span class="nocase">', "</span>")
 
 
 def looks_sentence_cased(text: str) -> bool:
-    """More lower-case words of four letters and more than capitalised ones, the first word aside."""
-    words = COMPOUND.findall(text)[1:]
-    low = sum(len(w) > 3 and w[0].islower() for w in words)
-    high = sum(w[0].isupper() and w != w.upper() for w in words)
-    return low > high
+    """At least as many words in lower case as with a capital, articles, prepositions and the like aside."""
+    starts = [w[0] for w in COMPOUND.findall(text) if w.lower() not in SMALL]
+    return sum(c.islower() for c in starts) >= sum(c.isupper() for c in starts)
 
 
 def cased(word: str, first: bool, after_colon: bool) -> str:
@@ -34,8 +35,7 @@ def cased(word: str, first: bool, after_colon: bool) -> str:
 def sentence_case(pieces: list[Piece], *, guess: bool = True, protection: str = "as-needed", quoted: bool = False) -> str:
     """The text of a title's pieces in sentence case; protected groups keep theirs and are marked as asked."""
     plain = "".join(p.text for p in pieces if not p.tag)
-    if guess and looks_sentence_cased(plain):
-        return "".join(p.text for p in pieces)
+    keep = guess and looks_sentence_cased(plain)
     # one string of all text, with what may change marked; tags are put back where they were
     free = bytearray()
     for p in pieces:
@@ -45,7 +45,7 @@ def sentence_case(pieces: list[Piece], *, guess: bool = True, protection: str =
         for m in re.finditer(r"“[^”]*”?", plain):
             free[m.start() : m.end()] = bytes(m.end() - m.start())
     chars, first, last = list(plain), True, 0
-    for m in WORD.finditer(plain):
+    for m in () if keep else WORD.finditer(plain):
         if all(free[m.start() : m.end()]):
             chars[m.start() : m.end()] = cased(m[0], first, RESTART.search(plain[max(0, last - 1) : m.start()]) is not None)
         first, last = False, m.end()

@@ -118,6 +118,8 @@ def parse_text(text: str, options: Options | None = None) -> dict:
                 if value is not None or items is not None or people is not None:
                     fields[name] = {"pos": pos, "name": name, "mode": mode, "value": value, "list": items, "people": people and [{k: p.get(k) for k in names.PERSON_KEYS} for p in people]}
             out["entries"].append({"ord": len(out["entries"]), "type": chunk.type, "key": chunk.key, "input": chunk.raw, "fields": list(fields.values())})
+    if out["fatal"]:  # the message stands for the whole document
+        out["entries"] = []
     return out
 
 
