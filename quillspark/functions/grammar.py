@@ -7,6 +7,9 @@ from typing import NamedTuple
 
 HEAD = re.compile(r"@[ \t]*([A-Za-z_][\w-]*)[ \t\r\n]*([{(])?")
 NAME = re.compile(r"[^\s={}(),#\"]+")
+SPACES, SPACES_COMMAS, KEY_END, LATER_ENTRY = re.compile(r"\s*"), re.compile(r"[\s,]*"), re.compile(r'[,={"]'), re.compile(r"\n[ \t]*@")
+#: Where a scan has to look: what a backslash escapes is stepped over.
+BRACES, QUOTES, ROUND, COMMAS = (re.compile(r"\\.|" + c, re.S) for c in ("[{}]", '[{}"]', '[{")]', "[{,]"))
 COMMENT_LINES = re.compile(r"(?:[ \t]*\r?\n[ \t]*%[^\n]*)+")
 
 
@@ -18,65 +21,53 @@ class Chunk(NamedTuple):
     fields: tuple = ()  # (name, ((part kind, text), ...)) in order
 
 
-def skip(s: str, at: int, end: int, also: str = "") -> int:
-    while at < end and (s[at].isspace() or s[at] in also):
-        at += 1
-    return at
+def skip(s: str, at: int, end: int, pattern: re.Pattern = SPACES) -> int:
+    return pattern.match(s, at, end).end() if at < end else at
 
 
 def group_end(s: str, at: int, end: int) -> int:
     """Where the brace group that begins at `at` ends, or -1. Backslash-escaped braces do not count."""
     depth = 0
-    while at < end:
-        c = s[at]
-        if c == "\\":
-            at += 1
-        elif c == "{":
+    for m in BRACES.finditer(s, at, end):
+        c = s[m.start()]
+        if c == "{":
             depth += 1
         elif c == "}":
             depth -= 1
             if not depth:
-                return at
-        at += 1
+                return m.start()
     return -1
 
 
 def quote_end(s: str, at: int, end: int) -> int:
     """Where the quoted string that begins at `at` ends, or -1; quotes inside braces or after a backslash are text."""
-    depth, at = 0, at + 1
-    while at < end:
-        c = s[at]
-        if c == "\\":
-            at += 1
-        elif c == "{":
+    depth = 0
+    for m in QUOTES.finditer(s, at + 1, end):
+        c = s[m.start()]
+        if c == "{":
             depth += 1
         elif c == "}":
             depth -= 1
         elif c == '"' and depth <= 0:
-            return at
-        at += 1
+            return m.start()
     return -1
 
 
 def body_end(s: str, at: int, opened: str) -> int:
     """Where the entry's body that begins after `opened` ends, or -1."""
-    if opened == "{":
-        return group_end(s, at - 1, len(s))
     end = len(s)
-    while at < end:
-        c = s[at]
-        if c == "\\":
-            at += 1
-        elif c == "{":
-            at = group_end(s, at, end)
-            if at < 0:
+    if opened == "{":
+        return group_end(s, at - 1, end)
+    while m := ROUND.search(s, at, end):
+        at, c = m.end(), s[m.start()]
+        if c == ")":
+            return m.start()
+        if c == "{":
+            at = group_end(s, m.start(), end) + 1
+            if not at:
                 return -1
-        elif c == '"':
-            q = quote_end(s, at, end)
-            at = q if q > 0 else at
-        elif c == ")":
-            return at
-        at += 1
+        elif c == '"' and (q := quote_end(s, m.start(), end)) > 0:
+            at = q + 1
     return -1
 
 
@@ -111,22 +102,29 @@ def value_parts(s: str, at: int, end: int) -> tuple[tuple[tuple[str, str], ...],
     return tuple(parts), at
 
 
+def past_value(s: str, at: int, end: int) -> int:
+    """The next comma outside groups, or the end; a backslash says nothing here."""
+    while m := COMMAS.search(s, at, end):
+        c = s[m.start()]
+        if c == ",":
+            return m.start()
+        if c == "\\":
+            at = m.start() + 1
+            continue
+        to = group_end(s, m.start(), end)
+        at = (to if to > 0 else m.start()) + 1
+    return end
+
+
 def body_fields(s: str, at: int, end: int) -> tuple:
     out = []
-    while (at := skip(s, at, end, ",")) < end:
+    while (at := skip(s, at, end, SPACES_COMMAS)) < end:
         m = NAME.match(s, at, end)
         eq = skip(s, m.end(), end) if m else end
-        if not m or eq >= end or s[eq] != "=":
-            # not a field: go on after the next comma outside groups
-            while at < end and s[at] != ",":
-                to = group_end(s, at, end) if s[at] == "{" else -1
-                at = (to if to > 0 else at) + 1
-            continue
-        parts, at = value_parts(s, eq + 1, end)
-        out.append((m[0].lower(), parts))
-        while at < end and s[at] != ",":
-            to = group_end(s, at, end) if s[at] == "{" else -1
-            at = (to if to > 0 else at) + 1
+        if m and eq < end and s[eq] == "=":  # else not a field: go on after the next comma outside groups
+            parts, at = value_parts(s, eq + 1, end)
+            out.append((m[0].lower(), parts))
+        at = past_value(s, at, end)
     return tuple(out)
 
 
@@ -153,7 +151,7 @@ def chunks(s: str) -> list[Chunk]:
             continue
         end = body_end(s, m.end(), opened)
         if end < 0:  # nothing closes it: it ends before the next line that begins with @, if there is one
-            later = re.compile(r"\n[ \t]*@").search(s, m.end())
+            later = LATER_ENTRY.search(s, m.end())
             end = later.start() if later else len(s)
         raw = s[begin : end + 1]
         at = end + 1
@@ -165,9 +163,8 @@ def chunks(s: str) -> list[Chunk]:
             if tail := COMMENT_LINES.match(s, at):
                 raw += tail[0]
                 at = tail.end()
-            comma = m.end()
-            while comma < end and s[comma] not in ",={\"":
-                comma += 1
+            mark = KEY_END.search(s, m.end(), end)
+            comma = mark.start() if mark else end
             if comma < end and s[comma] == "=":
                 key, rest = "", m.end()
             else:

@@ -25,6 +25,11 @@ WRAPPERS = {"emph": "i", "textit": "i", "textsl": "i", "textbf": "b", "textsc":
 TAGS = {"i": ("<i>", "</i>"), "b": ("<b>", "</b>"), "u": ("<u>", "</u>"), "sc": ('<span style="font-variant:small-caps;">', "</span>"), "code": ("<code>", "</code>"), "sub": ("<sub>", "</sub>"), "sup": ("<sup>", "</sup>"), "quotation": ("<blockquote>", "</blockquote>"), "quote": ("<blockquote>", "</blockquote>"), "itemize": ("<ul>", "</ul>"), "enumerate": ("<ol>", "</ol>")}
 LINE_END = re.compile(r"%[ \t]*\r?\n[ \t]*")
 COMMAND = re.compile(r"[a-zA-Z]+\*?|.", re.S)
+#: What text without a command may hold that still reads differently; runs of what never does; white space.
+SPECIAL, PLAIN, BLANKS = re.compile(r"[\\{}$~]|--|``|''|[?!]`|%[ \t]*\r?\n"), re.compile(r"[^\\{}$~\-`'?!_^%]*"), re.compile(r"[ \t\r\n]+")
+LIGATURES = {"---": "—", "--": "–", "``": "“", "''": "”", "?`": "¿", "!`": "¡"}
+LIGATURE = re.compile("|".join(re.escape(x) for x in sorted(LIGATURES, key=len, reverse=True)))
+SWITCH, NO_BRACES = re.compile(r"\s*\\([a-zA-Z]+)(?![a-zA-Z])\s*"), re.compile(r"[\\{}]")
 
 
 class Unsupported(ValueError):
@@ -38,30 +43,38 @@ class Piece(NamedTuple):
     macro: bool = False
 
 
+_ends: dict[str, re.Pattern] = {}
+
+
 def closing(text: str, at: int, begin: str = "{", end: str = "}") -> int:
     """Where the group that begins at `at` ends; the end of the text if nothing closes it."""
+    pattern = _ends.setdefault(begin + end, re.compile(rf"\\.|[{re.escape(begin + end)}]", re.S))
     depth = 0
-    while at < len(text):
-        c = text[at]
-        if c == "\\":
-            at += 1
-        elif c == begin:
+    for m in pattern.finditer(text, at):
+        c = text[m.start()]
+        if c == begin:
             depth += 1
         elif c == end:
             depth -= 1
             if not depth:
-                return at
-        at += 1
+                return m.start()
     return len(text)
 
 
 class Decoder:
     def __init__(self, unsupported: str = "error"):
-        self.unsupported, self.out, self.groups = unsupported, [], 0
+        self.unsupported, self.runs, self.groups = unsupported, [], 0
 
     def emit(self, text: str, group: int, tag: bool = False) -> None:
+        """Text of one group that follows on itself is one piece."""
         if text:
-            self.out.append(Piece(text, group, tag))
+            if not tag and self.runs and self.runs[-1][1] == group and not self.runs[-1][2]:
+                self.runs[-1][0].append(text)
+            else:
+                self.runs.append(([text], group, tag))
+
+    def pieces(self) -> list[Piece]:
+        return [Piece("".join(parts), group, tag) for parts, group, tag in self.runs]
 
     def argument(self, s: str, at: int) -> tuple[str, int]:
         """The argument after a command: a group or one letter or command."""
@@ -80,7 +93,7 @@ class Decoder:
     def plain(self, s: str) -> str:
         inner = Decoder(self.unsupported)
         inner.run(s, 0, False)
-        return "".join(p.text for p in inner.out)
+        return "".join(p.text for p in inner.pieces())
 
     def command(self, s: str, at: int, group: int, math: bool) -> int:
         m = COMMAND.match(s, at + 1)
@@ -182,8 +195,8 @@ class Decoder:
                     self.run(s[at + 1 + double : end], group or self.groups, True)
                     at = end + 1 + double
             elif c == "%" and (m := LINE_END.match(s, at)):
-                if self.out and not self.out[-1].tag:
-                    self.out[-1] = self.out[-1]._replace(text=self.out[-1].text.rstrip(" \t"))
+                if self.runs and not self.runs[-1][2]:
+                    self.runs[-1][0][:] = ["".join(self.runs[-1][0]).rstrip(" \t")]
                 at = m.end()
             elif c == "~":
                 self.emit(" ", group)
@@ -195,20 +208,17 @@ class Decoder:
                 self.run(arg, group, math)
                 self.emit(closed, group, True)
             else:
-                for raw, to in (("---", "—"), ("--", "–"), ("``", "“"), ("''", "”"), ("?`", "¿"), ("!`", "¡")):
-                    if s.startswith(raw, at) and not (math and raw[0] == "-"):
-                        self.emit(to, group)
-                        at += len(raw)
-                        break
+                m = LIGATURE.match(s, at) if c in "-`'?!" else None
+                if m and not (math and c == "-"):
+                    self.emit(LIGATURES[m[0]], group)
+                    at = m.end()
                 else:
-                    end = at + 1
-                    while end < n and s[end] not in "\\{}$~-`'?!_^%":
-                        end += 1
+                    end = PLAIN.match(s, at + 1).end()
                     self.emit(s[at:end], group)
                     at = end
 
     def braces(self, inner: str, group: int, math: bool) -> None:
-        m = re.match(r"\s*\\([a-zA-Z]+)(?![a-zA-Z])\s*", inner)
+        m = SWITCH.match(inner)
         if m and m[1] in SWITCHES:
             opened, closed = TAGS[SWITCHES[m[1]]]
             self.emit(opened, group, True)
@@ -222,9 +232,11 @@ class Decoder:
 
 
 def decode(value: str, unsupported: str = "error") -> list[Piece]:
+    if not SPECIAL.search(value):
+        return [Piece(value, 0)] if value else []
     decoder = Decoder(unsupported)
     decoder.run(value, 0, False)
-    return decoder.out
+    return decoder.pieces()
 
 
 def collapse(pieces: list[Piece]) -> list[Piece]:
@@ -238,7 +250,7 @@ def collapse(pieces: list[Piece]) -> list[Piece]:
             out.append(p)
             spaced = p.text in ("<blockquote>", "</blockquote>", "<p>")
             continue
-        text = re.sub(r"[ \t\r\n]+", " ", p.text)
+        text = BLANKS.sub(" ", p.text)
         if spaced and text.startswith(" "):
             text = text[1:]
         if text:
@@ -255,11 +267,16 @@ def collapse(pieces: list[Piece]) -> list[Piece]:
 
 
 def to_text(value: str, unsupported: str = "error") -> str:
+    if not SPECIAL.search(value):
+        return BLANKS.sub(" ", value).strip(" ")
     return "".join(p.text for p in collapse(decode(value, unsupported)))
 
 
 def split_top(value: str, pattern: re.Pattern) -> list[str]:
     """Split where the pattern matches outside braces."""
+    if not NO_BRACES.search(value):
+        cuts = [0, *(x for m in pattern.finditer(value) for x in m.span()), len(value)]
+        return [value[a:b] for a, b in zip(cuts[::2], cuts[1::2], strict=True)]
     masked, depth, at = [], 0, 0
     while at < len(value):
         c = value[at]

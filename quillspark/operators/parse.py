@@ -7,7 +7,9 @@ The long table of fields is the canonical form; entries, strings and errors are
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
+from dataclasses import dataclass, field, replace
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -18,7 +20,7 @@ from pyspark.sql.types import _parse_datatype_string
 from ..functions import casing, grammar, latex, names
 from ..functions.modes import BUILT_IN, MONTHS, mode_of
 from ..options import Options
-from ..schema import CHUNK, DOCUMENT
+from ..schema import CHUNK, DOCUMENT, FIELD_ROW
 
 
 class Failed(ValueError):
@@ -77,66 +79,128 @@ def field_value(name: str, mode: str, parts: list[tuple[str, bool]], options: Op
     return text or None, None, None
 
 
-def parse_text(text: str, options: Options | None = None) -> dict:
-    """The record of one document."""
-    options = options or Options()
-    strings: dict[str, str] = {}
-    out: dict = {"comments": [], "preamble": [], "strings": strings, "errors": [], "jabref": [], "fatal": None, "entries": []}
+class Field(NamedTuple):
+    pos: int
+    name: str
+    mode: str
+    value: str | None
+    items: list[str] | None
+    people: list[dict] | None
+
+
+class Entry(NamedTuple):
+    type: str
+    key: str
+    raw: str
+    fields: dict[str, Field]
+
+
+@dataclass
+class Record:
+    """What one document says."""
+
+    comments: list[str] = field(default_factory=list)
+    preamble: list[str] = field(default_factory=list)
+    strings: dict[str, str] = field(default_factory=dict)
+    errors: list[tuple[str, str]] = field(default_factory=list)
+    jabref: list[str] = field(default_factory=list)
+    fatal: str | None = None
+    entries: list[Entry] = field(default_factory=list)
+
 
-    def fail(message: str, source: str = "") -> None:
-        if options.mode == "FAILFAST":
-            raise Failed(message)
-        out["errors"].append({"error": message, "input": source})
+def read(text: str, options: Options) -> Record:
+    out = Record()
+
+    def fail(missing: list[str]) -> None:
+        for name in missing:
+            message = f'Unresolved @string reference "{name}"'
+            if options.mode == "FAILFAST":
+                raise Failed(message)
+            out.errors.append((message, ""))
 
     for chunk in grammar.chunks(text):
         if chunk.kind == "comment":
-            out["jabref" if chunk.raw.lstrip().startswith("jabref-") else "comments"].append(chunk.raw)
+            (out.jabref if chunk.raw.lstrip().startswith("jabref-") else out.comments).append(chunk.raw)
         elif chunk.kind == "preamble":
-            out["preamble"].append(chunk.raw)
+            out.preamble.append(chunk.raw)
         elif chunk.kind == "string":
             for name, parts in chunk.fields:
-                found, missing = resolve(parts, strings, False)
-                strings[name.upper()] = "".join(t for t, _ in found)
-                for m in missing:
-                    fail(f'Unresolved @string reference "{m}"')
+                found, missing = resolve(parts, out.strings, False)
+                out.strings[name.upper()] = "".join(t for t, _ in found)
+                fail(missing)
         else:
-            fields = {}
+            fields: dict[str, Field] = {}
             for pos, (name, parts) in enumerate(chunk.fields):
-                if options.fields and name not in options.fields:
+                if options.fields and name not in options.fields and not (options.inherit and name == "crossref"):
                     continue
                 mode = mode_of(name)
-                found, missing = resolve(parts, strings, name == "month")
-                for m in missing:
-                    fail(f'Unresolved @string reference "{m}"')
+                found, missing = resolve(parts, out.strings, name == "month")
+                fail(missing)
                 try:
-                    value, items, people = field_value(name, mode, found, options)
+                    value = field_value(name, mode, found, options)
                 except latex.Unsupported as e:
                     if options.mode == "FAILFAST":
                         raise Failed(f"{e}\n{chunk.raw}") from e
-                    out["fatal"] = out["fatal"] or f"{e}\n{chunk.raw}"
+                    out.fatal = out.fatal or f"{e}\n{chunk.raw}"
                     continue
-                if value is not None or items is not None or people is not None:
-                    fields[name] = {"pos": pos, "name": name, "mode": mode, "value": value, "list": items, "people": people and [{k: p.get(k) for k in names.PERSON_KEYS} for p in people]}
-            out["entries"].append({"ord": len(out["entries"]), "type": chunk.type, "key": chunk.key, "input": chunk.raw, "fields": list(fields.values())})
-    if out["fatal"]:  # the message stands for the whole document
-        out["entries"] = []
-    return out
+                if value != (None, None, None):
+                    fields[name] = Field(pos, name, mode, *value)
+            out.entries.append(Entry(chunk.type, chunk.key, chunk.raw, fields))
+    if out.fatal:  # the message stands for the whole document
+        out.entries = []
+    return with_inherited(out, options) if options.inherit else out
+
+
+def with_inherited(record: Record, options: Options) -> Record:
+    """Fields that an entry lacks, from the entry that its crossref names, and from that one's parent; the first of a key counts."""
+    by_key: dict[str, Entry] = {}
+    for e in record.entries:
+        by_key.setdefault(e.key.lower(), e)
+
+    def complete(e: Entry) -> Entry:
+        fields, at, seen = dict(e.fields), e, {id(e)}
+        while (link := at.fields.get("crossref")) and link.value and (at := by_key.get(link.value.lower())) and id(at) not in seen:
+            seen.add(id(at))
+            for name, f in at.fields.items():
+                if name != "crossref":
+                    fields.setdefault(name, f)
+        if options.fields and "crossref" not in options.fields:
+            fields.pop("crossref", None)
+        return e._replace(fields=fields)
+
+    return replace(record, entries=[complete(e) for e in record.entries])
+
+
+def parse_text(text: str, options: Options | None = None) -> dict:
+    """The record of one document."""
+    r = read(text, options or Options())
+    people = lambda found: found and [{k: p.get(k) for k in names.PERSON_KEYS} for p in found]
+    entries_ = [
+        {"ord": n, "type": e.type, "key": e.key, "input": e.raw, "fields": [{"pos": f.pos, "name": f.name, "mode": f.mode, "value": f.value, "list": f.items, "people": people(f.people)} for f in e.fields.values()]}
+        for n, e in enumerate(r.entries)
+    ]
+    return {"comments": r.comments, "preamble": r.preamble, "strings": r.strings, "errors": [{"error": e, "input": i} for e, i in r.errors], "jabref": r.jabref, "fatal": r.fatal, "entries": entries_}
 
 
-def _mapped(docs: DataFrame, schema: str, rows_of) -> DataFrame:
+def _mapped(docs: DataFrame, schema: str, rows_of: Callable[[str, str], Iterable[tuple]]) -> DataFrame:
+    """rows_of(doc_id, text) of every document, as Arrow columns, about 4 MB of text at a time."""
     target = to_arrow_schema(_parse_datatype_string(schema))
 
+    def batch(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), target, strict=True)], schema=target)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for whole in batches:
             held, size = [], 0
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for doc_id, text in zip(whole.column(0).to_pylist(), whole.column(1).to_pylist(), strict=True):
                 held += rows_of(doc_id, text or "")
                 size += len(text or "")
                 if size > 4 << 20:
-                    yield pa.RecordBatch.from_pylist(held, target)
+                    if held:
+                        yield batch(held)
                     held, size = [], 0
             if held:
-                yield pa.RecordBatch.from_pylist(held, target)
+                yield batch(held)
 
     return docs.select(F.col("doc_id").cast("string"), "text").mapInArrow(run, schema)
 
@@ -144,8 +208,33 @@ def _mapped(docs: DataFrame, schema: str, rows_of) -> DataFrame:
 def parse_bibtex(docs: DataFrame, options: Options | None = None, **more) -> DataFrame:
     """One record per document (columns doc_id, text): comments, preamble, strings, errors, jabref, fatal, entries."""
     options = Options.merged(more, options)
-    arrow_map = lambda r: r | {"strings": list(r["strings"].items())}
-    return _mapped(docs, DOCUMENT, lambda doc_id, text: [{"doc_id": doc_id} | arrow_map(parse_text(text, options))])
+
+    def rows(doc_id, text):
+        r = parse_text(text, options)
+        return [(doc_id, r["comments"], r["preamble"], list(r["strings"].items()), r["errors"], r["jabref"], r["fatal"], r["entries"])]
+
+    return _mapped(docs, DOCUMENT, rows)
+
+
+def field_table(docs: DataFrame, options: Options | None = None, **more) -> DataFrame:
+    """The canonical long form straight from the texts: one row per field of each entry, as `fields` has them."""
+    options = Options.merged(more, options)
+
+    def rows(doc_id, text):
+        return [(doc_id, n, e.type, e.key, *f) for n, e in enumerate(read(text, options).entries) for f in e.fields.values()]
+
+    return _mapped(docs, FIELD_ROW, rows)
+
+
+def entry_values(docs: DataFrame, names_: Iterable[str], options: Options | None = None, **more) -> DataFrame:
+    """One row per entry: doc_id, ord, type, key and a column for each named text field; no other field is decoded."""
+    named = tuple(n.lower() for n in names_)
+    options = replace(Options.merged(more, options), fields=named or ("",))
+
+    def rows(doc_id, text):
+        return [(doc_id, n, e.type, e.key, *(e.fields[k].value if k in e.fields else None for k in named)) for n, e in enumerate(read(text, options).entries)]
+
+    return _mapped(docs, ", ".join(["doc_id string, ord int, type string, key string", *(f"`{n}` string" for n in named)]), rows)
 
 
 def chunk_table(docs: DataFrame) -> DataFrame:
@@ -153,8 +242,8 @@ def chunk_table(docs: DataFrame) -> DataFrame:
 
     def rows(doc_id, text):
         for i, c in enumerate(grammar.chunks(text)):
-            fields = [{"pos": p, "name": n, "parts": [{"kind": k, "text": t} for k, t in parts]} for p, (n, parts) in enumerate(c.fields)]
-            yield {"doc_id": doc_id, "ord": i, "kind": c.kind, "type": c.type, "key": c.key, "raw": c.raw, "raw_fields": fields}
+            raw_fields = [{"pos": p, "name": n, "parts": [{"kind": k, "text": t} for k, t in parts]} for p, (n, parts) in enumerate(c.fields)]
+            yield doc_id, i, c.kind, c.type, c.key, c.raw, raw_fields
 
     return _mapped(docs, CHUNK, rows)
 
@@ -180,14 +269,16 @@ def strings(parsed: DataFrame) -> DataFrame:
     return parsed.select("doc_id", F.explode("strings").alias("name", "value"))
 
 
+def entries_as_json(parsed: DataFrame) -> DataFrame:
+    """One JSON value per document, keys sorted at every depth; entries have maps of fields and modes, as goldens do."""
+    sorted_map = lambda pairs: F.map_from_entries(F.array_sort(pairs))
+    people = lambda f: F.to_json(F.transform(f["people"], lambda p: F.struct(*[p[k].alias(k) for k in sorted(names.PERSON_KEYS)])))
+    said = lambda f: F.coalesce(f["value"], F.to_json(f["list"]), people(f))
+    one = lambda e: F.struct(sorted_map(F.transform(e["fields"], lambda f: F.struct(f["name"], said(f)))).alias("fields"), e["input"].alias("input"), e["key"].alias("key"), sorted_map(F.transform(e["fields"], lambda f: F.struct(f["name"], f["mode"]))).alias("mode"), e["type"].alias("type"))
+    whole = F.struct("comments", F.transform("entries", one).alias("entries"), "errors", "fatal", "jabref", "preamble", sorted_map(F.map_entries("strings")).alias("strings"))
+    return parsed.select(F.to_json(whole).alias("value"))
+
+
 def pivot_fields(long: DataFrame, names_: list[str]) -> DataFrame:
     """One row per entry with a column per text field; the names are known, so no pass looks for them."""
     return long.groupBy("doc_id", "ord", "type", "key").agg(*[F.max(F.when(F.col("name") == n, F.col("value"))).alias(n) for n in names_])
-
-
-def inherit(long: DataFrame) -> DataFrame:
-    """Our extension: fields that an entry lacks, from the entry of its document that its crossref names."""
-    links = long.where("name = 'crossref'").select("doc_id", F.col("ord"), F.col("type"), F.col("key"), F.col("value").alias("parent"))
-    parents = long.where("name <> 'crossref'").select(F.col("doc_id").alias("_doc"), F.col("key").alias("_key"), "pos", "name", "mode", "value", "list", "people")
-    given = links.join(parents, (links.doc_id == parents._doc) & (F.lower("parent") == F.lower("_key"))).select("doc_id", "ord", "type", "key", "pos", "name", "mode", "value", "list", "people")
-    return long.unionByName(given.join(long.select("doc_id", "ord", "name"), ["doc_id", "ord", "name"], "left_anti").select(*long.columns))

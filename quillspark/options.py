@@ -17,6 +17,8 @@ class Options:
     unsupported: str = "error"
     #: PERMISSIVE keeps what can be parsed and lists errors; FAILFAST raises on the first one.
     mode: str = "PERMISSIVE"
+    #: Fields that an entry lacks come from the entry of its document that its crossref names.
+    inherit: bool = False
     #: Only these fields are decoded; all where empty.
     fields: tuple[str, ...] = ()
 

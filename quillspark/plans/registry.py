@@ -8,13 +8,14 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import abbrev, parse
-from ..options import Options
-from ..sources.files import sentence_cased
+from ..options import MATRIX, Options
+from ..sources.files import read_ordered_csv, read_text, read_titles, sentence_cased, write_ordered_csv
 from .render import ACCENTED, accented, braced, documents, entry, escaped
+from .shared import folder
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -41,14 +42,13 @@ def key(prefix: str, column: str) -> Column:
 
 
 def fields_of(docs: DataFrame, options: Options = OFF) -> DataFrame:
-    return parse.fields(parse.parse_bibtex(docs, options))
+    return parse.field_table(docs, options)
 
 
 def values(docs: DataFrame, names: dict[str, str], options: Options = OFF) -> DataFrame:
     """citekey, type and the named fields of each entry, which stand alone in their documents: no shuffle."""
-    e = parse.parse_bibtex(docs, options).select(F.explode("entries").alias("e"))
-    pick = lambda n: F.filter("e.fields", lambda f: f["name"] == n)[0]["value"]
-    return e.select(F.col("e.key").alias("citekey"), F.col("e.type").alias("type"), *[pick(n).alias(a) for n, a in names.items()])
+    found = parse.entry_values(docs, names, options)
+    return found.select(F.col("key").alias("citekey"), "type", *[F.col(n).alias(a) for n, a in names.items()])
 
 
 PART_SQL = "SELECT 'p' || p_partkey::VARCHAR AS citekey, 'misc' AS type, trim(p_name) AS title, p_size::VARCHAR AS number FROM part"
@@ -127,8 +127,8 @@ def authors(spark, sf_dir):
     rows = table(spark, sf_dir, "customer")
     k, n, m = F.col("c_custkey").cast("string"), F.col("c_nationkey").cast("string"), F.col("c_mktsegment")
     people = F.concat(F.lit("{Cust"), k, F.lit(", Ann "), m, F.lit(" and Bo van der Nat"), n, F.lit("\n and de Key"), k, F.lit(", Jr., Cy and {"), m, F.lit(" and Sons} and Solo"), k, F.lit("}"))
-    e = parse.parse_bibtex(documents(rows, F.col("c_custkey"), entry("book", key("c", "c_custkey"), {"author": people})), OFF).select(F.explode("entries").alias("e"))
-    p = e.select(F.col("e.key").alias("citekey"), F.posexplode(F.element_at("e.fields", 1)["people"]).alias("nth", "p"))
+    long = fields_of(documents(rows, F.col("c_custkey"), entry("book", key("c", "c_custkey"), {"author": people})))
+    p = long.select(F.col("key").alias("citekey"), F.posexplode("people").alias("nth", "p"))
     return p.select("citekey", "nth", F.col("p.firstName").alias("first_name"), F.col("p.prefix").alias("prefix"), F.col("p.lastName").alias("last_name"), F.col("p.suffix").alias("suffix"), F.col("p.name").alias("literal"))
 
 
@@ -246,8 +246,7 @@ def comments_preambles(spark, sf_dir):
 
 @query("SELECT 'type_' || lower(o_orderstatus) AS type, count(*) AS n FROM orders GROUP BY 1")
 def type_counts(spark, sf_dir):
-    e = parse.parse_bibtex(mixed_docs(spark, sf_dir), OFF).select(F.explode("entries").alias("e"))
-    return e.groupBy(F.col("e.type").alias("type")).agg(F.count("*").alias("n"))
+    return parse.entry_values(mixed_docs(spark, sf_dir), ()).groupBy("type").agg(F.count("*").alias("n"))
 
 
 @query(
@@ -268,8 +267,6 @@ def abbrev_merge(spark, sf_dir):
         F.when(F.col("p_brand") == "Brand#11", F.concat(F.lit("#"), "p_type")).otherwise(F.col("p_type")).alias("abbr"),
         F.concat(F.lit("t"), (F.col("p_size") % 3).cast("string")).alias("source"), (F.col("p_size") % 3).alias("load_ord"), F.col("p_partkey").alias("row_ord"),
     )
-    from pyspark.sql import Window
-
     # one row per abbreviation, of which there are as many as part types
     return abbrev.merge(rows).select("abbr", "full", "source", F.row_number().over(Window.orderBy("pos")).cast("long").alias("nth"))
 
@@ -293,7 +290,7 @@ def crossref_lookup(spark, sf_dir):
     rows = orders.join(customer, orders.o_custkey == customer.c_custkey)
     parent = entry("book", key("C", "o_custkey"), {"note": braced(F.col("c_mktsegment")), "year": F.lit("{9}")})
     text = F.concat(entry("inbook", key("o", "o_orderkey"), {"crossref": braced(key("c", "o_custkey")), "year": braced(F.col("o_orderstatus"))}), parent)
-    long = parse.inherit(fields_of(documents(rows, F.col("o_orderkey"), text)))
+    long = fields_of(documents(rows, F.col("o_orderkey"), text), Options(sentencecase="off", inherit=True))
     return long.where("type = 'inbook' AND name <> 'crossref'").select(F.col("key").alias("citekey"), "name", "value")
 
 
@@ -302,3 +299,124 @@ def fatal_documents(spark, sf_dir):
     note = F.when(F.col("s_nationkey") % 2 == 0, "{a \\nosuch b}").otherwise("{fine}")
     docs = documents(table(spark, sf_dir, "supplier"), F.col("s_suppkey"), entry("misc", key("s", "s_suppkey"), {"note": note}))
     return parse.parse_bibtex(docs, OFF).where("fatal is not null").select("doc_id", F.substring_index("fatal", "\n", 1).alias("fatal"))
+
+
+def supplier_docs(spark: SparkSession, sf_dir: str, fields: dict[str, Column], kind: str = "misc") -> DataFrame:
+    return documents(table(spark, sf_dir, "supplier"), F.col("s_suppkey"), entry(kind, key("s", "s_suppkey"), fields))
+
+
+def text_of(n: str, *parts: str) -> Column:
+    """Text around a number, as a braced value."""
+    return F.concat(F.lit("{" + parts[0]), F.col(n).cast("string"), F.lit((parts[1] if len(parts) > 1 else "") + "}"))
+
+
+@query("SELECT p_partkey::VARCHAR AS doc_id, '' AS citekey, trim(p_name) AS title, p_size::VARCHAR AS number FROM part UNION ALL SELECT p_partkey::VARCHAR, '', NULL, NULL FROM part WHERE p_size % 2 = 0")
+def missing_keys(spark, sf_dir):
+    rows = table(spark, sf_dir, "part")
+    text = F.concat(F.lit("@misc{title = {"), escaped(F.col("p_name")), F.lit("}, number="), F.col("p_size").cast("string"), F.lit("}\n"), F.when(F.col("p_size") % 2 == 0, "@foo{}\n").otherwise(""))
+    return parse.entry_values(documents(rows, F.col("p_partkey"), text), ("title", "number"), OFF).select("doc_id", F.col("key").alias("citekey"), "title", "number")
+
+
+@query("SELECT p_partkey::VARCHAR AS doc_id, '@misc{p' || p_partkey::VARCHAR || ',' || chr(10) || '  number = ' || p_size::VARCHAR || chr(10) || '}' AS input FROM part")
+def raw_input(spark, sf_dir):
+    docs = documents(table(spark, sf_dir, "part"), F.col("p_partkey"), F.concat(F.lit("text before\n"), entry("misc", key("p", "p_partkey"), {"number": F.col("p_size").cast("string")}), F.lit("and after")))
+    return parse.parse_bibtex(docs, OFF).select("doc_id", F.explode("entries.input").alias("input"))
+
+
+@query("SELECT 's' || s_suppkey::VARCHAR AS citekey, 'No.' || chr(160) || s_suppkey::VARCHAR || chr(160) || 'of' || chr(160) || 'all' AS place FROM supplier")
+def ties(spark, sf_dir):
+    return values(supplier_docs(spark, sf_dir, {"place": text_of("s_suppkey", "No.~", "~of~all")}), {"place": "place"}, OFF).drop("type")
+
+
+@query(
+    "SELECT 's' || s_suppkey::VARCHAR AS citekey, '<span style=\"font-variant:small-caps;\">Caps ' || s_suppkey::VARCHAR || '</span> and <code>type ' || s_suppkey::VARCHAR || '</code>' AS caps, 'shelf ful ' || s_suppkey::VARCHAR || ' roman' AS plain FROM supplier"
+)
+def small_caps_code_ignored(spark, sf_dir):
+    n = F.col("s_suppkey").cast("string")
+    caps = F.concat(F.lit("{{\\sc Caps "), n, F.lit("} and {\\tt type "), n, F.lit("}}"))
+    return values(supplier_docs(spark, sf_dir, {"caps": caps, "plain": F.concat(F.lit("{shelf\\/ ful "), n, F.lit(" {\\rm roman}}"))}), {"caps": "caps", "plain": "plain"}, OFF).drop("type")
+
+
+@query("SELECT s_suppkey::VARCHAR AS doc_id, 'one <p>two<blockquote>said ' || s_suppkey::VARCHAR || '</blockquote>' AS note, 'set \\ ' || s_suppkey::VARCHAR || ' of x<sub>k</sub>' AS title FROM supplier")
+def blocks_and_math(spark, sf_dir):
+    n = F.col("s_suppkey").cast("string")
+    note = F.concat(F.lit("{one\\par two\\begin{quotation}said "), n, F.lit("\\end{quotation}}"))
+    docs = supplier_docs(spark, sf_dir, {"note": note, "title": F.concat(F.lit("{set $\\backslash$ "), n, F.lit(" of $x_k$}"))})
+    return parse.entry_values(docs, ("note", "title"), Options(sentencecase="on")).select("doc_id", "note", "title")
+
+
+@query(
+    "SELECT s_suppkey::VARCHAR AS doc_id, 'Cust' || s_nationkey::VARCHAR AS last_name, 'jo ann' AS first_name, 'J' AS initial, 'von' AS prefix FROM supplier"
+    " UNION ALL SELECT s_suppkey::VARCHAR, 'McDONALD', 'dwayne', NULL, NULL FROM supplier"
+)
+def keyed_names(spark, sf_dir):
+    people = text_of("s_nationkey", "family=Cust", ", given=jo ann, given-i={J}, prefix=von and McDONALD, dwayne")
+    long = fields_of(supplier_docs(spark, sf_dir, {"author": people}), Options(sentencecase="on"))
+    return long.select("doc_id", F.explode("people").alias("p")).select("doc_id", F.col("p.lastName").alias("last_name"), F.col("p.firstName").alias("first_name"), F.col("p.initial").alias("initial"), F.col("p.prefix").alias("prefix"))
+
+
+@query("SELECT s_suppkey::VARCHAR AS doc_id, 'The old vs. new way ' || s_suppkey::VARCHAR AS title, 'The concepts of risk ' || s_suppkey::VARCHAR AS booktitle FROM supplier")
+def abbreviations_and_double_braces(spark, sf_dir):
+    docs = supplier_docs(spark, sf_dir, {"title": text_of("s_suppkey", "The Old vs. New Way "), "booktitle": braced(text_of("s_suppkey", "The Concepts of Risk "))})
+    return parse.entry_values(docs, ("title", "booktitle"), Options(sentencecase="on")).select("doc_id", "title", "booktitle")
+
+
+@query("SELECT 'p' || p_partkey::VARCHAR AS citekey, p_size::VARCHAR AS number FROM part")
+def fail_fast(spark, sf_dir):
+    return values(part_docs(spark, sf_dir), {"number": "number"}, Options(sentencecase="off", mode="FAILFAST")).drop("type")
+
+
+def matrix_sql() -> str:
+    span = lambda x: f"<span class=\"nocase\">{x}</span>"
+    rows = []
+    for o in MATRIX:
+        iota, gamma = (span("iota") if o.caseprotection != "off" else "iota"), (span("Gamma") if o.caseprotection == "strict" else "Gamma")
+        title = f"The {iota} and {gamma} of {'“Some Words”' if o.preservequoted else '“some words”'} in set" if o.sentencecase != "off" else "The iota and Gamma of “Some Words” in Set"
+        rows.append(f"SELECT s_suppkey::VARCHAR AS doc_id, '{o.sentencecase} {o.caseprotection} {str(o.preservequoted).lower()}' AS options, '{title} ' || s_suppkey::VARCHAR AS title FROM supplier")
+    return " UNION ALL ".join(rows)
+
+
+@query(matrix_sql())
+def option_matrix(spark, sf_dir):
+    docs = supplier_docs(spark, sf_dir, {"title": text_of("s_suppkey", "The {iota} and {Gamma} of ``Some Words'' in Set ")})
+    each = [parse.entry_values(docs, ("title",), o).select("doc_id", F.lit(f"{o.sentencecase} {o.caseprotection} {str(o.preservequoted).lower()}").alias("options"), "title") for o in MATRIX]
+    return reduce(DataFrame.unionByName, each)
+
+
+@query("SELECT 'n' || n_nationkey::VARCHAR AS citekey, n_name AS place, n_regionkey::VARCHAR AS number FROM nation")
+def text_files(spark, sf_dir):
+    """One file per nation, written and read as files are."""
+    path = folder(spark, "bib")
+    nation = table(spark, sf_dir, "nation")
+    text = entry("misc", key("n", "n_nationkey"), {"place": braced(escaped(F.col("n_name"))), "number": F.col("n_regionkey").cast("string")})
+    nation.select(text.alias("value"), F.col("n_nationkey").alias("n")).write.partitionBy("n").text(path)
+    return values(read_text(spark, f"{path}/*/*.txt"), {"place": "place", "number": "number"}).drop("type")
+
+
+@query("SELECT 'The New Item ' || p_partkey::VARCHAR || ' of USA' AS title, 'The new item ' || p_partkey::VARCHAR || ' of USA' AS sentence FROM part")
+def json_titles(spark, sf_dir):
+    path = folder(spark, "json")
+    title = F.concat(F.lit("The New Item "), F.col("p_partkey").cast("string"), F.lit(" of USA"))
+    grouped = table(spark, sf_dir, "part").groupBy(F.pmod(F.xxhash64("p_partkey"), F.lit(200)).alias("n")).agg(F.collect_list(F.struct(title.alias("title"))).alias("items"))
+    grouped.select(F.to_json(F.struct("items")).alias("value"), "n").write.partitionBy("n").text(path)
+    return read_titles(spark, f"{path}/*/*.txt")
+
+
+@query(
+    "WITH r AS (SELECT 'N. ' || n_name AS abbr, n_name AS whole, 0 AS f, n_nationkey AS o FROM nation UNION ALL SELECT 'N. ' || n_name, n_name || ' \"new\"', 1, 100 + n_nationkey FROM nation WHERE n_nationkey % 2 = 0"
+    " UNION ALL SELECT 'R. ' || r_name, r_name, 1, 200 + r_regionkey FROM region)"
+    " SELECT abbr, arg_max(whole, o) AS \"full\", CASE max(f) WHEN 0 THEN 'base.csv' ELSE 'more.csv' END AS source, row_number() OVER (ORDER BY min(o)) - 1 AS nth FROM r GROUP BY abbr"
+)
+def csv_files(spark, sf_dir):
+    """Two ordered tables in files, merged and written, and the written rows in the order of the files and their lines."""
+    nation, region, path = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region"), folder(spark, "csv")
+    base = nation.select(F.col("n_name"), F.concat(F.lit("N. "), "n_name"), F.lit("more columns"), F.col("n_nationkey").alias("o"))
+    more = nation.where("n_nationkey % 2 = 0").select(F.concat("n_name", F.lit(' "new"')), F.concat(F.lit("N. "), "n_name"), F.lit(""), F.col("n_nationkey").alias("o")).union(region.select("r_name", F.concat(F.lit("R. "), "r_name"), F.lit(""), F.col("r_regionkey") + 100))
+    for name, rows in (("base.csv", base), ("more.csv", more)):
+        rows.coalesce(1).sortWithinPartitions("o").drop("o").write.csv(f"{path}/{name}", sep=";", escape='"', quoteAll=True)
+    merged = abbrev.merge(read_ordered_csv(spark, [f"{path}/base.csv", f"{path}/more.csv"]))
+    write_ordered_csv(merged, f"{path}/out")
+    back = spark.read.csv(f"{path}/out", sep=";", escape='"', schema="abbr string, full string, source string")
+    # files are named in order, and lines are numbered in order in each
+    place = back.select("abbr", "full", "source", F.col("_metadata.file_name").alias("file"), F.monotonically_increasing_id().alias("line"))
+    return place.select("abbr", "full", "source", (F.row_number().over(Window.orderBy("file", "line")) - 1).cast("long").alias("nth"))

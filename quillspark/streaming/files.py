@@ -15,4 +15,4 @@ def stream_documents(spark: SparkSession, path: str, *, files_per_trigger: int =
 
 def stream_fields(spark: SparkSession, path: str, options: Options | None = None, **more) -> DataFrame:
     """The long table of fields of every new file."""
-    return parse.fields(parse.parse_bibtex(stream_documents(spark, path), options, **more))
+    return parse.field_table(stream_documents(spark, path), options, **more)

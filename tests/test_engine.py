@@ -92,14 +92,69 @@ def test_views(spark):
     e = api.entries(parsed).where("doc_id = 'a'").first()
     assert e.text_fields == {"title": "T", "note": "S", "x": "y"} and e.list_fields == {"publisher": ["P"]} and e.name_fields["author"][0].lastName == "B" and e["mode"]["x"] == "literal"
     assert parsed.count() == 4 and api.errors(parsed).count() == 1 and api.strings(parsed).first().value == "S"
-    long = api.inherit(api.fields(parsed)).where("key = 'c1'").select("name", "value").collect()
+    long = api.field_table(docs, sentencecase="off", inherit=True).where("key = 'c1'").select("name", "value").collect()
     assert {tuple(r) for r in long} == {("crossref", "P1"), ("year", "1"), ("note", "n")}
+    same = lambda df: sorted(map(str, df.select("doc_id", "ord", "key", "pos", "name", "mode", "value", "list", "people").collect()))
+    assert same(api.fields(parsed)) == same(api.field_table(docs, sentencecase="off"))
+    wide = {r.key: r.title for r in api.entry_values(docs, ["Title"], sentencecase="off").collect()}
+    assert wide == {"k": "T", "c1": None, "p1": None}
     assert api.pivot_fields(api.fields(parsed), ["title", "note"]).where("key = 'k'").first().title == "T"
     assert api.chunk_table(docs).where("doc_id = 'a'").count() == 2
     only = api.fields(api.parse_bibtex(docs, fields=("note",)))
     assert {r.name for r in only.collect()} == {"note"}
 
 
+def test_crossref_chains():
+    text = "@a{c, crossref={M}, x={1}}@a{m, crossref={p}, y={2}}@a{p, x={0}, y={3}, note={n}}@a{q, crossref={q}}@a{r, crossref={s}}@a{s, crossref={r}, z={4}}@a{P, note={second}}"
+    got = {e["key"]: {f["name"]: f["value"] for f in e["fields"] if f["name"] != "crossref"} for e in parse_text(text, Options(sentencecase="off", inherit=True))["entries"]}
+    assert got == {"c": {"x": "1", "y": "2", "note": "n"}, "m": {"y": "2", "x": "0", "note": "n"}, "p": {"x": "0", "y": "3", "note": "n"}, "q": {}, "r": {"z": "4"}, "s": {"z": "4"}, "P": {"note": "second"}}
+    only = parse_text(text, Options(inherit=True, fields=("note",)))["entries"][0]["fields"]
+    assert [f["name"] for f in only] == ["note"]
+
+
+def test_a_fatal_document_is_its_message(spark):
+    docs = spark.createDataFrame([("a", "@a{k, x={y}}@a{l, note={\\nosuch}}"), ("b", "@a{k, x={y}}")], "doc_id string, text string")
+    assert [r.doc_id for r in api.field_table(docs).collect()] == ["b"]
+    parsed = api.parse_bibtex(docs).orderBy("doc_id").collect()
+    assert parsed[0].fatal == "unsupported macro (\\nosuch)\n@a{l, note={\\nosuch}}" and parsed[0].entries == [] and parsed[1].fatal is None
+
+
+def test_goldens_as_text(spark, tmp_path):
+    docs = spark.createDataFrame([("a", "@string{z={Z}}@book{k, title={T}, author={B, A}, publisher={P and Q}}")], "doc_id string, text string")
+    api.write_golden(api.parse_bibtex(docs, sentencecase="off"), str(tmp_path / "g"))
+    import json
+
+    (line,) = [x for f in (tmp_path / "g").glob("part-*") for x in f.read_text().splitlines()]
+    said = json.loads(line)
+    assert list(said) == sorted(said) and said["strings"] == {"Z": "Z"}
+    (e,) = said["entries"]
+    assert list(e["fields"]) == ["author", "publisher", "title"] == list(e["mode"]) and json.loads(e["fields"]["author"]) == [{"firstName": "A", "lastName": "B"}]
+
+
+def test_short_rows_are_errors(spark, tmp_path):
+    for n, bad in enumerate(("only one column\n", "a;b\n\nc;d\n", "a;b\n ")):
+        (tmp_path / f"{n}.csv").write_text("x;y\n" + bad)
+        with pytest.raises(Exception, match="of two columns"):
+            api.read_ordered_csv(spark, [str(tmp_path / f"{n}.csv")]).collect()
+    (tmp_path / "fine.csv").write_text('"two\n\nlines";b;c;d\n;\n')
+    assert [(r.full, r.abbr) for r in api.read_ordered_csv(spark, [str(tmp_path / "fine.csv")]).collect()] == [("two\n\nlines", "b"), ("", "")]
+
+
+def test_source_packs_files(spark, tmp_path, monkeypatch):
+    from quillspark.sources import files
+
+    for n in range(7):
+        (tmp_path / f"{n}.bib").write_text(f"@a{{k{n}, x={{{n}}}}}")
+    (tmp_path / "_SUCCESS").write_text("")
+    monkeypatch.setattr(files, "PACK_FILES", 3)
+    for path in (str(tmp_path), f"file://{tmp_path}"):
+        parts = files.BibtexReader({"path": path}).partitions()
+        assert [len(p.value) for p in parts] == [3, 3, 1]
+        rows = [r for p in parts for r in files.BibtexReader({"path": path}).read(p)]
+        assert [r[7] for r in rows] == [str(n) for n in range(7)]
+    assert files.packs([("a", 20 << 20), ("b", 20 << 20), ("c", 1)]) == [["a"], ["b", "c"]]
+
+
 def test_files(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "a.bib").write_text("@book{k, title={The Old Book of Things}}")
