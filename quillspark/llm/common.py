@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -125,6 +126,37 @@ def join_copies(rows: DataFrame, facts: DataFrame, key: str) -> DataFrame:
     return rows.join(F.broadcast(hot), key).unionByName(rest)
 
 
+#: Bytes of an Arrow batch, in place of Spark's default of 64 MB, of which a worker holds several copies at a time.
+BATCH, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
+
+
+def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """mapInArrow in batches of few bytes (unless the session has set their size itself) that leaves no memory behind."""
+    if df.sparkSession.conf.get(BATCH) == f"{64 << 20}b":
+        df.sparkSession.conf.set(BATCH, str(BATCH_BYTES))
+    return df.mapInArrow(tidied(fn), schema)
+
+
+def tidy() -> None:
+    """Give memory that a task no longer needs back to the machine, as the worker goes on to others."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def tidied(fn: Callable[..., Iterator]) -> Callable[..., Iterator]:
+    """A function of mapInArrow that tidies up at its end."""
+
+    def run(batches: Iterator) -> Iterator:
+        try:
+            yield from fn(batches)
+        finally:
+            tidy()
+
+    return run
+
+
 def as_bytes(column: pa.Array) -> list[bytes | None]:
     """Strings of an Arrow column as UTF-8, without decoding them."""
     return column.cast(pa.binary() if pa.types.is_string(column.type) else pa.large_binary()).to_pylist()
@@ -157,7 +189,7 @@ def map_rows(df: DataFrame, fn: Callable[[Iterator[tuple]], Iterator[tuple]], sc
         if held:
             yield batch_of(held, out)
 
-    return df.mapInArrow(run, schema)
+    return map_batches(df, run, schema)
 
 
 def batch_of(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:

@@ -21,9 +21,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import map_batches
+
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, bucket int"
 #: Bytes of text that are encoded at a time, and bytes of runs of letters whose ids a worker remembers.
-CHUNK_BYTES, KNOWN_BYTES = 6 << 20, 24 << 20
+CHUNK_BYTES, KNOWN_BYTES = 4 << 20, 16 << 20
 #: Letters that the normalizer composes and lower-cases as Arrow does, then marks: two pre-tokens at most.
 SIMPLE = r"^(?P<run>[A-Za-z\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{ff}]+)(?P<mark>[.,;:!?*%#$&)\]}\"-]*)$"
 _encoders: dict[str, "WordEncoder"] = {}
@@ -200,7 +202,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, *, max_length: int = 40
                 bucket = pa.array(np.log2(length).astype(np.int32))
                 yield pa.RecordBatch.from_arrays([keys.slice(first, number).take(pa.array(doc)), pa.array(start), pa.array(length), binary, pa.array(counts[doc]), bucket], names=["doc_id", "start", "length", "ids", "doc_tokens", "bucket"])
 
-    out = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text")).mapInArrow(run, SCHEMA)
+    out = map_batches(docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text")), run, SCHEMA)
     return out.withColumn("sequence_id", F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long"))
 
 

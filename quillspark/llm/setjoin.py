@@ -30,10 +30,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, Scratch, as_bytes, join_copies, map_rows
+from .common import LOWER, Scratch, as_bytes, join_copies, map_batches, map_rows
 from .components import components
 
-SEGMENT, BASE = 1 << 20, 0x9E3779B97F4A7C15
+SEGMENT, BASE = 1 << 19, 0x9E3779B97F4A7C15
 PICKED, SMALL, CLASSES = 16, 8, 4
 SKETCH_BITS, SPLIT = 512, 512
 #: Shingles that more sets have are ordered last; of them as many as can be at most, whatever the input's size.
@@ -298,23 +298,32 @@ class Join:
         Counted where they are among the first in order of hash, and where a task meets them twice. Which ones are found
         decides how fast the join is and not what it finds.
         """
-        least = self.least
+        least, shingle = self.least, self.shingle
 
         def count(rows: Iterator[tuple]) -> Iterator[tuple]:
-            held: list[bytes] = []
-            for (tokens,) in rows:
-                held.append(tokens)
-                if len(held) == 16384:
-                    yield from several(held)
-                    held = []
-            yield from several(held)
-
-        def several(held: list[bytes]) -> Iterator[tuple]:
-            token, times = np.unique(np.frombuffer(b"".join(held), np.int64), return_counts=True)
-            yield from zip(token[times > 1].tolist(), times[times > 1].tolist(), strict=True)
-
-        zones = map_sets(self.source.select("text"), lambda found: (found[: prefix_length(len(found), least) * 3 // 2].tobytes(),), "tokens binary", shingle=self.shingle, columns=0)
-        counted = self.scratch.keep(map_rows(zones, count, "token long, k long").groupBy("token").agg(F.sum("k").alias("k")).where(F.col("k") > OFTEN), "often")
+            held: list[np.ndarray] = []
+            n = size = 0
+            texts: list[bytes] = []
+            for (text,) in rows:
+                texts.append(text or b"")
+                size += len(texts[-1])
+                if size >= SEGMENT:
+                    held.append(zones(texts))
+                    n += len(held[-1])
+                    texts, size = [], 0
+                    if n > 1 << 20:
+                        yield from several(held)
+                        held, n = [], 0
+            yield from several([*held, zones(texts)])
+
+        def zones(texts: list[bytes]) -> np.ndarray:
+            return np.concatenate([np.zeros(0, np.uint64), *(found[: prefix_length(len(found), least) * 3 // 2] for found in shingle_sets(texts, shingle))])
+
+        def several(held: list[np.ndarray]) -> Iterator[tuple]:
+            token, times = np.unique(np.concatenate(held), return_counts=True)
+            yield from zip(token[times > 1].view(np.int64).tolist(), times[times > 1].tolist(), strict=True)
+
+        counted = self.scratch.keep(map_rows(self.source.select("text"), count, "token long, k long", binary=("text",)).groupBy("token").agg(F.sum("k").alias("k")).where(F.col("k") > OFTEN), "often")
         # all counts together allow so many tokens over the threshold, and no more
         total = counted.agg(F.coalesce(F.sum("k"), F.lit(0)).alias("k")).first()["k"]
         found = counted.where(F.col("k") > max(OFTEN, total // MOST_OFTEN)).select("token").collect()
@@ -345,7 +354,7 @@ class Join:
                     node, group = (np.repeat(batch.column(i).to_numpy(zero_copy_only=False), times) for i in (0, 1))
                     yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(parts), np.int64)), pa.array(node), pa.array(group)], names=["token", "node", "component"])
 
-        postings = known.select("node", "component", "prefix").mapInArrow(expand, "token long, node long, component long")
+        postings = map_batches(known.select("node", "component", "prefix"), expand, "token long, node long, component long")
         # shingles of more than one group
         tokens = keep(postings.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("token"), "tokens")
         shared = keep(postings.join(tokens, "token"), "postings")

@@ -25,14 +25,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, map_rows
+from .common import crc_mod, map_batches, map_rows
 
 SAMPLE, LEXICON, STEMS = 10_000, 600, (3, 4, 5, 6)
 WORD = re.compile(r"[^\W_]+(?:['’@$!][^\W_]+)*")
 QUOTES = "\"“”«»„"
 REPORTING = frozenset("said says called word term quote quoted wrote phrase says meaning insult slur dit mot terme sagte wort begriff dijo palabra".split())
 ADDRESS = frozenset("you your you're youre u ur are such these those du dich dein ihr euch tu te toi vous ton eres usted ustedes".split())
-WINDOW, FEATURES, WORDS_KEPT = 4, 6, 600_000
+#: Words whose matches a worker remembers, and steps of the automaton that it keeps; both start over when they are full.
+WINDOW, FEATURES, WORDS_KEPT, WORD_BYTES, STEPS_KEPT = 4, 6, 300_000, 80, 100_000
 
 
 class Model(NamedTuple):
@@ -71,6 +72,11 @@ class Automaton:
                 else:
                     self.ends[at] = (term, weight)
         self.room[0] = max([0, *self.room])
+        self.forget()
+
+    def forget(self) -> None:
+        """Start over with the states made so far; they are made again as words need them."""
+        self.steps = 0
         self.ids: dict[frozenset, int] = {}
         self.sets: list[frozenset] = []
         self.step: list[dict[str, int]] = []
@@ -105,11 +111,17 @@ class Automaton:
             pairs.add((node, made + 1))  # a letter too many
             pairs.update((other, made + 1) for other in self.next[node].values())  # another letter
         to = self.step[at][c] = self.state(pairs)
+        self.steps += 1
         return to
 
+    def begin(self) -> int:
+        if self.steps > STEPS_KEPT:
+            self.forget()
+        return self.start
+
     def near(self, word: str) -> str | None:
         """The term that a word misspells, if there is one and the word is not itself a term."""
-        at = self.start
+        at = self.begin()
         for c in word:
             to = self.step[at].get(c)
             at = self.move(at, c) if to is None else to
@@ -121,7 +133,7 @@ class Automaton:
 
     def match(self, word: str) -> tuple[float, float, float]:
         """Weights of the best exact, misspelled and stem matches of a word."""
-        at, node, stem = self.start, 0, 0.0
+        at, node, stem = self.begin(), 0, 0.0
         for c in word:
             if node is not None and (node := self.next[node].get(c)) is not None:
                 stem = max(stem, self.stem[node])
@@ -156,9 +168,13 @@ class Scorer:
                 found = tuple(map(max, found, self.automaton.match(part)))
             if any(found):
                 self.matched[word] = found
-        self.seen |= new
         here = self.matched.keys() & distinct
         hits = [(i, self.matched[w]) for i, w in enumerate(words) if w in here] if here else []
+        if any(len(w) > WORD_BYTES for w in new):  # not worth remembering
+            for word in [w for w in new if len(w) > WORD_BYTES]:
+                self.matched.pop(word, None)
+                new.discard(word)
+        self.seen |= new
         exact = fuzzy = stem = quoted = abuse = 0.0
         for i, m in hits:
             near = words[max(0, i - WINDOW) : i + WINDOW + 1]
@@ -291,7 +307,7 @@ def scored_rows(docs: DataFrame, model: Model) -> DataFrame:
             row = pa.StructArray.from_arrays(batch.columns, fields=list(batch.schema))
             yield pa.RecordBatch.from_arrays([row, scores], names=["row", "score"])
 
-    return docs.mapInArrow(run, f"row struct<{schema}>, score double")
+    return map_batches(docs, run, f"row struct<{schema}>, score double")
 
 
 def scorer_of(model: Model) -> Callable[[], Callable[[str], float]]:
