@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -102,6 +103,11 @@ class Scratch:
             Scratch.log.append(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def sweep(self) -> None:
+        """Let Spark delete the shuffle files of jobs that have ended and whose results are stored."""
+        gc.collect()
+        self.spark._jvm.System.gc()
+
     def forget(self, name: str, but: int = 0) -> None:
         """Delete all but the newest `but` tables kept under a name."""
         old = self.paths.get(name, [])
@@ -145,6 +151,13 @@ def tidy() -> None:
         trim(0)
 
 
+def tidy_after(fn: Callable, *given):
+    try:
+        return fn(*given)
+    finally:
+        tidy()
+
+
 def tidied(fn: Callable[..., Iterator]) -> Callable[..., Iterator]:
     """A function of mapInArrow that tidies up at its end."""
 

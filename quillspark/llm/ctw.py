@@ -1,42 +1,46 @@
 """Language-model scoring by context-tree weighting over bytes.
 
-Every byte is eight binary decisions; each decision has a node in the tree of each context of 0 to DEPTH bytes
+Every byte is eight binary decisions; each decision has a node in the tree of each context of 0 to `depth` bytes
 before it. A node's Krichevsky-Trofimov estimate is mixed, half and half, with the product of its children's
 weighted probabilities, so all depths share in each prediction by how well they have coded the corpus. The tree
 is learned from the training rows and then held; the score is the sum of log10 P over a text's bytes and one end
 mark, and code length per byte follows from it.
 
-One pass cuts the documents into chunks and counts each chunk's byte n-grams and words (training counts; 0 for
-what only held-out rows have). The n-grams' sums, dealt by their last two context bytes, hold all tree nodes
-below those contexts together; what is above is at most 65,280 nodes, which the driver mixes. Each chunk then
-gets back the probabilities of its own n-grams and the counts of its own words, so nothing that grows with the
-corpus is broadcast, and no key has more rows than there are chunks.
+One pass cuts the documents into chunks and counts each chunk's byte n-grams and the 64-bit hashes of its words
+(training counts; 0 for what only held-out rows have). The n-grams' sums, dealt by their last two context bytes, hold
+all tree nodes below those contexts together; what is above is at most 65,280 nodes, which the driver mixes. Each chunk
+then gets back the probabilities of its own n-grams and the counts of its own words, so nothing that grows with the
+corpus is broadcast, and no key has more rows than there are chunks. Input splits are joined while each core keeps two
+tasks, as larger chunks have fewer n-grams a byte.
 
-Null and empty texts are one end mark. Repeated rows score alike (and count twice in training); rows with a null
-doc_id belong to the fold of the text `null`. Texts may be of any length. Empty tables give empty results.
+Null and empty texts are one end mark. Repeated rows and ties score alike (and count each in training); rows with a null
+doc_id belong to the fold of the text `null`. Texts may be of any length. Empty tables give empty results; other
+columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
 
-import pickle
-from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, as_bytes, crc_mod, words
+from .common import Scratch, as_bytes, crc_mod, map_batches, tidy_after
+from .setjoin import WordHashes
 
-DEPTH, CHUNK_BYTES, PART_BYTES, END = 4, 32 << 20, 4 << 20, b"\xff"
-CHUNKS = pa.schema([("chunk", pa.int64()), ("kind", pa.int32()), ("gram", pa.int64()), ("token", pa.binary()), ("n", pa.int64()), ("blob", pa.binary())])
+DEPTH, CHUNK_BYTES, PART_BYTES, END = 5, 64 << 20, 2 << 20, b"\xff"
+CHUNKS = pa.schema([("chunk", pa.int64()), ("kind", pa.int32()), ("key", pa.int64()), ("n", pa.int64()), ("blob", pa.binary())])
 DOCS, GRAM, TOKEN = 0, 1, 2
+#: The key of the end token among those of words.
+END_KEY = np.int64(-1)
 
 
-def grams(texts: list[bytes], depth: int = DEPTH) -> tuple[np.ndarray, np.ndarray]:
+def grams(texts: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray]:
     """Codes (context bytes, oldest first, then the byte) of all bytes and end marks, and where each text's begin."""
     pad = bytes(depth)
     whole = np.frombuffer(b"".join(x for t in texts for x in (pad, t, END)), np.uint8)
@@ -52,59 +56,91 @@ def grams(texts: list[bytes], depth: int = DEPTH) -> tuple[np.ndarray, np.ndarra
     return code[keep], np.concatenate([[0], np.cumsum(n)[:-1]])
 
 
-def parts(docs: list[tuple]) -> Iterator[list[tuple]]:
-    """Runs of (doc_id, held, text) of about PART_BYTES, so that work on n-grams needs little memory at a time."""
-    part, size = [], 0
-    for d in docs:
-        part.append(d)
-        size += len(d[2]) + DEPTH + 1
+def parts(texts: list[bytes]) -> Iterator[slice]:
+    """Runs of texts of about PART_BYTES, so that work on n-grams needs little memory at a time."""
+    begin, size = 0, 0
+    for i, text in enumerate(texts):
+        size += len(text) + 1
         if size >= PART_BYTES:
-            yield part
-            part, size = [], 0
-    if part:
-        yield part
-
-
-def chunk_rows(number: int, docs: list[tuple]) -> Iterator[pa.RecordBatch]:
-    """Everything that one chunk of (doc_id, held, text) sends on."""
-    found = []
-    for part in parts(docs):
-        code, starts = grams([t for _, _, t in part])
-        held = np.array([h for _, h, _ in part], np.int64)
-        found.append(np.unique(code * 2 + np.repeat(held, np.diff(np.append(starts, len(code)))), return_counts=True))
-    flagged, place = np.unique(np.concatenate([f for f, _ in found]), return_inverse=True)
-    count = np.bincount(place, np.concatenate([c for _, c in found]), len(flagged)).astype(np.int64)
-    gram, first = np.unique(flagged >> 1, return_index=True)
-    trained = np.add.reduceat(np.where(flagged & 1, 0, count), first)
-    seen, only_held = Counter(), set()
-    for _, h, t in docs:
-        (only_held if h else seen).update(words(t))
-    seen[b""] = sum(not h for _, h, _ in docs)
-    tokens = [*seen, *(only_held - seen.keys())]
-    counts = [seen.get(t, 0) for t in tokens]
+            yield slice(begin, i + 1)
+            begin, size = i + 1, 0
+    if begin < len(texts):
+        yield slice(begin, len(texts))
+
+
+_hashes: list[WordHashes] = []
+
+
+def word_keys(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words of some texts, and the place of each one's text."""
+    if not _hashes:
+        _hashes.append(WordHashes())
+    found, begin = _hashes[0].of(b"\n".join(texts))
+    ends = np.cumsum([len(t) + 1 for t in texts])
+    return found.view(np.int64), np.searchsorted(ends, begin, side="right")
+
+
+def tally(keys: np.ndarray, trained: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Different keys and their counts in training rows (0 where only held-out rows have them)."""
+    place, found = pd.factorize(keys)
+    return found, np.bincount(place, trained, len(found)).astype(np.int64)
+
+
+def merged(tallies: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    keys, place = np.unique(np.concatenate([np.zeros(0, np.int64), *(k for k, _ in tallies)]), return_inverse=True)
+    return keys, np.bincount(place, np.concatenate([np.zeros(0), *(n for _, n in tallies)]), len(keys)).astype(np.int64)
+
+
+def packed(ids: pa.Array, held: np.ndarray, texts: list[bytes]) -> bytes:
+    """The documents of a chunk as compressed Arrow."""
+    sink = pa.BufferOutputStream()
+    batch = pa.RecordBatch.from_arrays([ids, pa.array(held), pa.array(texts, pa.large_binary())], names=["doc_id", "held", "text"])
+    with pa.ipc.new_stream(sink, batch.schema) as writer:
+        writer.write_batch(batch)
+    return zstandard.compress(sink.getvalue(), 1)
+
+
+def chunk_rows(number: int, ids: pa.Array, held: np.ndarray, texts: list[bytes], depth: int) -> Iterator[pa.RecordBatch]:
+    """Everything that one chunk of documents sends on."""
+    gram, token = [], [(np.array([END_KEY]), np.array([(~held).sum()]))]
+    for part in parts(texts):
+        code, starts = grams(texts[part], depth)
+        lengths = np.diff(np.append(starts, len(code)))
+        gram.append(tally(code, np.repeat(~held[part], lengths)))
+        keys, place = word_keys(texts[part])
+        token.append(tally(keys, ~held[part][place]))
 
     def batch(kind: int, length: int, **columns) -> pa.RecordBatch:
         fixed = {"chunk": pa.array(np.full(length, number)), "kind": pa.array(np.full(length, kind, np.int32))} | columns
         return pa.RecordBatch.from_arrays([fixed.get(f.name, pa.nulls(length, f.type)) for f in CHUNKS], schema=CHUNKS)
 
-    yield batch(DOCS, 1, blob=pa.array([zstandard.compress(pickle.dumps(docs), 1)], pa.binary()))
-    for at in range(0, len(gram), 100_000):
-        yield batch(GRAM, len(part := gram[at : at + 100_000]), gram=pa.array(part), n=pa.array(trained[at : at + 100_000].astype(np.int64)))
-    for at in range(0, len(tokens), 50_000):
-        yield batch(TOKEN, len(part := tokens[at : at + 50_000]), token=pa.array(part, pa.binary()), n=pa.array(counts[at : at + 50_000], pa.int64()))
-
-
-def cut_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    number, docs, size = TaskContext.get().partitionId() << 24, [], 0
-    for batch in batches:
-        for doc_id, held, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), as_bytes(batch.column(2)), strict=True):
-            docs.append((doc_id, int(held), text or b""))
-            size += len(text or b"") + 64
-            if size >= CHUNK_BYTES:
-                yield from chunk_rows(number, docs)
-                number, docs, size = number + 1, [], 0
-    if docs:
-        yield from chunk_rows(number, docs)
+    yield batch(DOCS, 1, blob=pa.array([packed(ids, held, texts)], pa.binary()))
+    for kind, found in ((GRAM, gram), (TOKEN, token)):
+        keys, counts = merged(found)
+        for at in range(0, len(keys), 100_000):
+            yield batch(kind, len(part := keys[at : at + 100_000]), key=pa.array(part), n=pa.array(counts[at : at + 100_000]))
+
+
+def cut_chunks(depth: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, size = TaskContext.get().partitionId() << 24, 0
+        ids: list[pa.Array] = []
+        held: list[np.ndarray] = []
+        texts: list[bytes] = []
+        for whole in batches:
+            for first in range(0, whole.num_rows, 256):
+                batch = whole.slice(first, 256)
+                ids.append(batch.column(0))
+                held.append(batch.column(1).to_numpy(zero_copy_only=False))
+                texts += [t or b"" for t in as_bytes(batch.column(2))]
+                size += batch.column(2).nbytes
+                if size >= CHUNK_BYTES:
+                    yield from chunk_rows(number, pa.concat_arrays(ids), np.concatenate(held), texts, depth)
+                    number, size, ids, held, texts = number + 1, 0, [], [], []
+        if texts:
+            yield from chunk_rows(number, pa.concat_arrays(ids), np.concatenate(held), texts, depth)
+
+    return run
 
 
 def log_gamma(x: np.ndarray) -> np.ndarray:
@@ -171,7 +207,7 @@ def read_all(batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray]
     return (np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])) if parts else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
-def log_probabilities(summed: DataFrame, depth: int = DEPTH) -> DataFrame:
+def log_probabilities(summed: DataFrame, depth: int) -> DataFrame:
     """(gram, value): log10 P(byte | context) under the tree of all grams' counts. At most 65,280 rows reach the driver."""
     dealt = summed.select("gram", "n").repartition(F.shiftright("gram", 8).bitwiseAND(F.lit(0xFFFF)))
 
@@ -184,7 +220,7 @@ def log_probabilities(summed: DataFrame, depth: int = DEPTH) -> DataFrame:
             below = np.bincount(place, levels[-1].log_w, len(one.key))
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in (one.key, one.n0, one.n1, below)], ["key", "n0", "n1", "below"])
 
-    rows = dealt.mapInArrow(up, "key long, n0 double, n1 double, below double").groupBy("key").agg(F.sum("n0"), F.sum("n1"), F.sum("below")).collect()
+    rows = map_batches(dealt, up, "key long, n0 double, n1 double, below double").groupBy("key").agg(F.sum("n0"), F.sum("n1"), F.sum("below")).collect()
     rows.sort()
     columns = [np.array(c) for c in zip(*rows, strict=True)] or [np.zeros(0, np.int64), *[np.zeros(0)] * 3]
     one = Level(*columns)
@@ -206,52 +242,73 @@ def log_probabilities(summed: DataFrame, depth: int = DEPTH) -> DataFrame:
         for i in range(0, len(gram), 100_000):
             yield pa.RecordBatch.from_arrays([pa.array(gram[i : i + 100_000]), pa.array(value[i : i + 100_000])], ["gram", "value"])
 
-    return dealt.mapInArrow(down, "gram long, value double")
+    return map_batches(dealt, down, "gram long, value double")
+
+
+class Lookup:
+    """Values of keys that are all there."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        self.index, self.values = pd.Index(keys), values
+
+    def __call__(self, keys: np.ndarray) -> np.ndarray:
+        at = self.index.get_indexer(keys)
+        if (at < 0).any():
+            raise ValueError("a key of the chunk was not sent back")
+        return self.values[at]
 
 
-def score_texts(docs: DataFrame, *, folds: int = 10) -> DataFrame:
-    """The contract's columns for every document; fold 0 is held out of training."""
-    scratch = Scratch(docs.sparkSession)
+def score_texts(docs: DataFrame, *, folds: int = 10, depth: int = DEPTH) -> DataFrame:
+    """The contract's columns for every document; fold 0 is held out of training. `depth` is at most 6."""
+    if not 2 <= depth <= 6:
+        raise ValueError("depth is 2 to 6 bytes")
+    scratch, spark = Scratch(docs.sparkSession), docs.sparkSession
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (crc_mod("doc_id", folds) == 0).alias("held"), "text")
-    cut = scratch.keep(source.mapInArrow(cut_chunks, "chunk long, kind int, gram long, token binary, n long, blob binary"), "chunks", "kind")
-    chunk_grams = cut.where(F.col("kind") == GRAM).select("chunk", "gram", "n")
-    chunk_tokens = cut.where(F.col("kind") == TOKEN).select("chunk", "token", "n")
-    summed = scratch.keep(chunk_grams.groupBy("gram").agg(F.sum("n").alias("n")), "grams")
-    values = scratch.keep(log_probabilities(summed), "values")
+    splits = source.rdd.getNumPartitions()
+    joined = splits // (2 * spark.sparkContext.defaultParallelism)
+    source = source.coalesce(splits // joined) if joined > 1 else source
+    cut = scratch.keep(map_batches(source, cut_chunks(depth), "chunk long, kind int, key long, n long, blob binary"), "chunks", "kind")
+    chunk_grams, chunk_tokens = (cut.where(F.col("kind") == kind).select("chunk", "key", "n") for kind in (GRAM, TOKEN))
+    summed = scratch.keep(chunk_grams.groupBy("key").agg(F.sum("n").alias("n")), "grams")
+    values = scratch.keep(log_probabilities(summed.withColumnRenamed("key", "gram"), depth), "values")
     scratch.forget("grams")
     # a word has at most one row per chunk: its sum is found where its rows meet, in one shuffle
-    same = Window.partitionBy("token")
-    counts = scratch.keep(chunk_tokens.select("chunk", "token", "n", F.sum("n").over(same).alias("c"), (F.min("chunk").over(same) == F.col("chunk")).alias("head")), "tokens")
+    same = Window.partitionBy("key")
+    counts = scratch.keep(chunk_tokens.select("chunk", "key", "n", F.sum("n").over(same).alias("c"), (F.min("chunk").over(same) == F.col("chunk")).alias("head")), "tokens")
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.when(F.col("head") & (F.col("c") > 0), 1)).alias("v")).first()
     train_tokens, distinct = int(total["n"]), int(total["v"])
-    told = chunk_grams.join(values, "gram").select("chunk", "gram", F.lit(None).cast("binary").alias("token"), "value").unionByName(counts.select("chunk", F.lit(None).cast("long").alias("gram"), "token", F.col("c").cast("double").alias("value")))
+    sent = F.col("value").cast("float").alias("value")  # seven digits of a byte's logarithm
+    told = chunk_grams.join(values.withColumnRenamed("gram", "key"), "key").select("chunk", "key", sent, F.lit(None).cast("long").alias("c")).unionByName(counts.select("chunk", "key", F.lit(None).cast("float").alias("value"), "c"))
     floor = np.log10(train_tokens + 0.1 * (distinct + 1))
+    scratch.sweep()
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
-        rows = pickle.loads(zstandard.decompress(left.column("blob")[0].as_py()))
-        gram, token, value = (right.column(c).combine_chunks() for c in ("gram", "token", "value"))
-        is_gram = gram.is_valid().to_numpy(zero_copy_only=False)
-        value = value.to_numpy(zero_copy_only=False)
-        keys = gram.drop_null().to_numpy()
-        order = np.argsort(keys)
-        keys, logs = keys[order], value[is_gram][order]
-        base = dict(zip(token.drop_null().to_pylist(), (np.log10(value[~is_gram] + 0.1) - floor).tolist(), strict=True))
-        unknown = float(np.log10(0.1) - floor)
-        scores = []
-        for part in parts(rows):
-            code, starts = grams([t for _, _, t in part])
-            scores += np.add.reduceat(logs[np.searchsorted(keys, code)], starts).tolist()
-        out = {n: [] for n in ("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "n_bytes")}
-        for (doc_id, held, text), s in zip(rows, scores, strict=True):
-            got = [base[w] for w in words(text)]
-            got.append(base[b""])
-            known = len(got) - got.count(unknown)
-            for name, v in zip(out, (doc_id, bool(held), len(got), known, train_tokens, float(np.sum(got)), s, len(text)), strict=True):
-                out[name].append(v)
-        kinds = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64())
-        return pa.table({n: pa.array(v, k) for (n, v), k in zip(out.items(), kinds, strict=True)})
+        rows = pa.ipc.open_stream(zstandard.decompress(left.column("blob")[0].as_py())).read_all()
+        texts = rows.column("text").to_pylist()
+        key, value, c = (right.column(name).combine_chunks() for name in ("key", "value", "c"))
+        key, is_gram = key.to_numpy(), value.is_valid().to_numpy(zero_copy_only=False)
+        logs = Lookup(key[is_gram], value.drop_null().to_numpy().astype(float))
+        known = Lookup(key[~is_gram], c.drop_null().to_numpy())
+        end = known(np.array([END_KEY]))[0]
+        scores, base, n_tokens, n_known = [], [], [], []
+        for part in parts(texts):
+            some = texts[part]
+            code, starts = grams(some, depth)
+            scores.append(np.add.reduceat(logs(code), starts))
+            keys, place = word_keys(some)
+            counted = known(keys)
+            per = lambda x: np.bincount(place, x, len(some))  # noqa: B023, E731
+            base.append(per(np.log10(counted + 0.1) - floor) + np.log10(end + 0.1) - floor)
+            n_tokens.append(per(None) + 1)
+            n_known.append(per(counted > 0) + (end > 0))
+        scores, base, n_tokens, n_known = map(np.concatenate, (scores, base, n_tokens, n_known))
+        n_bytes = np.array([len(t) for t in texts])
+        # bits by byte, the end mark counted as one
+        bits = -scores * np.log2(10) / (n_bytes + 1)
+        whole = lambda x: pa.array(x.astype(np.int64))
+        columns = {"doc_id": rows.column("doc_id"), "held_out": rows.column("held"), "n_tokens": whole(n_tokens), "n_known": whole(n_known), "train_tokens": pa.array(np.full(len(texts), train_tokens)), "base_score": pa.array(base), "score": pa.array(scores), "bits_per_byte": pa.array(bits)}
+        return pa.table(columns)
 
     blobs = cut.where(F.col("kind") == DOCS).select(F.col("chunk").alias("at"), "blob")
-    scored = blobs.groupBy("at").cogroup(told.groupBy("chunk")).applyInArrow(score, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_bytes long")
-    # bits by byte, the end mark counted as one
-    return scored.withColumn("bits_per_byte", -F.col("score") * float(np.log2(10)) / (F.col("n_bytes") + 1)).drop("n_bytes")
+    schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double"
+    return blobs.groupBy("at").cogroup(told.groupBy("chunk")).applyInArrow(lambda left, right: tidy_after(score, left, right), schema)

@@ -2,6 +2,8 @@ import math
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from quillspark.llm import ctw, queries
@@ -11,9 +13,8 @@ def held(doc_id):
     return zlib.crc32(str("null" if doc_id is None else doc_id).encode()) % 10 == 0
 
 
-def brute(texts):
+def brute(texts, d):
     """Context-tree weighting node by node, as the recursion is written."""
-    d = ctw.DEPTH
     counts = defaultdict(lambda: [0, 0])
     kids = defaultdict(set)
     for doc, text in texts:
@@ -70,19 +71,20 @@ def base(texts):
     return {doc: (len(low(t)) + 1, sum(c[w] > 0 for w in [*low(t), b""]), n, sum(math.log10((c[w] + 0.1) / (n + 0.1 * (v + 1))) for w in [*low(t), b""])) for doc, t in texts}
 
 
-def test_tree_equals_brute_force(spark):
+@pytest.mark.parametrize("depth", [2, 4, ctw.DEPTH, 6])
+def test_tree_equals_brute_force(spark, depth):
     texts = [(i, t) for i, t in enumerate(["abracadabra abracadabra", "the cat the hat", "", "über ßtraße", "The Cat", "zzz", "abra the", "x\x00y", "cat hat abra", "new words here", "qq cat"] * 3)]
     df = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
     raw = [(i, t.encode()) for i, t in texts]
-    want, plain = brute(raw), base(raw)
-    for r in ctw.score_texts(df).collect():
-        assert r.score == pytest.approx(want[r.doc_id], abs=1e-6) and r.held_out == held(r.doc_id)
+    want, plain = brute(raw, depth), base(raw)
+    for r in ctw.score_texts(df, depth=depth).collect():
+        assert r.score == pytest.approx(want[r.doc_id], rel=1e-6, abs=1e-6) and r.held_out == held(r.doc_id)
         assert (r.n_tokens, r.n_known, r.train_tokens) == plain[r.doc_id][:3] and r.base_score == pytest.approx(plain[r.doc_id][3])
 
 
 def test_bits_sum_to_one(spark):
     grams = spark.createDataFrame([((c << 8) | b, (b * c) % 7) for c in (1, 2, 258) for b in range(256)], "gram long, n long")
-    rows = ctw.log_probabilities(grams).collect()
+    rows = ctw.log_probabilities(grams, 4).collect()
     sums = defaultdict(float)
     for r in rows:
         sums[r.gram >> 8] += 10**r.value
@@ -102,3 +104,25 @@ def test_awkward_rows(docs, no_docs):
     rows = ctw.score_texts(docs).collect()
     by = {r.doc_id: r for r in rows}
     assert len(rows) == 10 and by[3].n_tokens == by[4].n_tokens == 1 and by[3].score == by[4].score and ctw.score_texts(no_docs).count() == 0
+
+
+def test_chunks_change_nothing(spark, sf_dir):
+    docs = queries.table(spark, sf_dir, "documents")
+    want = {r.doc_id: r for r in ctw.score_texts(docs.repartition(2)).collect()}
+    for r in ctw.score_texts(docs.repartition(23)).collect():
+        assert r.score == pytest.approx(want[r.doc_id].score, rel=1e-9) and r.base_score == pytest.approx(want[r.doc_id].base_score, rel=1e-9) and r.n_known == want[r.doc_id].n_known
+
+
+def test_parts_change_nothing(monkeypatch):
+    texts = [b"the cat " * k for k in range(40)] + [b"", b"x" * 300]
+    held = np.arange(len(texts)) % 5 == 0
+    rows = lambda: [r.to_pylist() for r in ctw.chunk_rows(3, pa.array(range(len(texts))), held, texts, 5)]
+    want = rows()
+    monkeypatch.setattr(ctw, "PART_BYTES", 50)
+    assert rows() == want and len(want) == 3
+
+
+def test_held_out_documents_beat_the_base(spark, sf_dir):
+    """On the table of ten times as many rows most held-out documents have a higher probability than the base gives them."""
+    rows = [r for r in queries.op5_ctw(spark, sf_dir.replace("0.001", "0.01")).collect() if r.held_out]
+    assert sum(r.score for r in rows) > sum(r.base_score for r in rows) and sum(r.score > r.base_score for r in rows) > 0.5 * len(rows)
