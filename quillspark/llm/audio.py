@@ -2,8 +2,13 @@
 energy segmentation, and fixed-shape tensors with time spans.
 
 A feature tensor is `FRAMES` x `MELS` unsigned bytes (a quantised log-mel patch of one segment, zero-padded at
-the segment's end) and carries its span in seconds. All arithmetic is per recording, so equal recordings have
-equal features wherever they are computed. Null media is an empty recording. Repeated rows give equal values.
+the segment's end) and carries its span in seconds; a batch of recordings gives an Arrow table with a column of Arrow's
+fixed-shape tensor type. All arithmetic is per recording, so equal recordings have equal features wherever they are
+computed.
+
+Null media or text is an empty recording. Repeated rows, and ties of any kind, give equal values, each row its own. Texts
+may be of any length; frames go through in blocks. An empty table gives an empty result. `store_texts` keeps all columns
+whatever their names; where one is called as the new one, that one's name gets underscores before it.
 """
 
 from __future__ import annotations
@@ -13,13 +18,14 @@ import struct
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows
+from .common import Scratch, as_bytes, fresh, map_batches, schema_of
 
 RATE, UP, DOWN, TAPS = 16_000, 3, 4, 8
 FRAME, HOP, MELS, FRAMES = 256, 128, 20, 16
@@ -134,30 +140,45 @@ def features(samples: bytes, rate: int) -> tuple[np.ndarray, list[tuple[float, f
 
 
 def store_texts(docs: DataFrame, *, text_column: str = "text") -> DataFrame:
-    """The documents with a column `media`: the text's UTF-8 bytes as a wave file. Narrow; null text is empty."""
-    names = [c for c in docs.columns if c != "media"]
-    at = names.index(text_column)
+    """The documents with a last column `media` more: the text's UTF-8 bytes as a wave file. Narrow; null text is empty."""
+    (media,) = fresh(docs, "media")
+    at = docs.columns.index(text_column)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            files = [encode_wave(payload_of(text or b"")) for text in as_bytes(batch.column(at))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(files, pa.binary())], names=[*batch.schema.names, media])
+
+    return map_batches(docs, run, schema_of(docs, f"`{media}` binary"))
 
-    def run(rows):
-        for row in rows:
-            text = row[at]
-            yield (*row, encode_wave(payload_of((text or "").encode())))
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "media")
-    return map_rows(docs.select(*names), run, f"{schema}, media binary")
+SEGMENTS = pa.schema([("recording", pa.int64()), ("n", pa.int32()), ("begin_s", pa.float64()), ("end_s", pa.float64()), ("tensor", TENSOR_TYPE)])
 
 
-def media_features(media: DataFrame, *, id_column: str = "doc_id") -> DataFrame:
-    """One row per tensor of each recording in the column `media`: n, begin_s, end_s and the tensor's bytes."""
+def segment_table(media: list[bytes | None]) -> pa.Table:
+    """Recordings (by place) as fixed-shape tensors with their spans, in order."""
+    found = [features(*reversed(decode_wave(m))) if m else (np.zeros((0, FRAMES, MELS), np.uint8), []) for m in media]
+    counts = [len(spans) for _, spans in found]
+    spans = [s for _, some in found for s in some]
+    storage = np.concatenate([np.zeros((0, FRAMES, MELS), np.uint8), *(t for t, _ in found)])
+    tensor = pa.FixedShapeTensorArray.from_numpy_ndarray(storage) if len(spans) else pa.ExtensionArray.from_storage(TENSOR_TYPE, pa.FixedSizeListArray.from_arrays(pa.array([], pa.uint8()), FRAMES * MELS))
+    columns = [pa.array(np.repeat(np.arange(len(media)), counts)), pa.array([i for n in counts for i in range(n)], pa.int32()), pa.array([b for b, _ in spans], pa.float64()), pa.array([e for _, e in spans], pa.float64()), tensor]
+    return pa.table(columns, schema=SEGMENTS)
 
-    def run(rows):
-        for key, blob in rows:
-            rate, samples = decode_wave(blob) if blob else (RATE, b"")
-            tensors, spans = features(samples, rate)
-            for i, (tensor, (begin, end)) in enumerate(zip(tensors, spans, strict=True)):
-                yield key, i, begin, end, tensor.tobytes()
 
-    return map_rows(media.select(F.col(id_column).cast("long"), "media"), run, "doc_id long, n int, begin_s double, end_s double, tensor binary")
+def media_features(media: DataFrame, *, id_column: str = "doc_id", media_column: str = "media") -> DataFrame:
+    """One row per tensor of each recording: its id, n, begin_s, end_s and the tensor's bytes, which `as_tensors` types again."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for first in range(0, whole.num_rows, 256):
+                batch = whole.slice(first, 256)
+                found = segment_table(batch.column(1).to_pylist()).combine_chunks()
+                tensors = found.column("tensor").combine_chunks().storage.flatten().to_numpy().tobytes()
+                size = FRAMES * MELS
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(found.column("recording").combine_chunks()), *(found.column(c).combine_chunks() for c in ("n", "begin_s", "end_s")), pa.array([tensors[i : i + size] for i in range(0, len(tensors), size)], pa.binary())], names=["doc_id", "n", "begin_s", "end_s", "tensor"])
+
+    return map_batches(media.select(F.col(id_column).cast("long").alias("doc_id"), media_column), run, "doc_id long, n int, begin_s double, end_s double, tensor binary")
 
 
 def as_tensors(column: pa.Array | pa.ChunkedArray) -> pa.ExtensionArray:
@@ -168,15 +189,30 @@ def as_tensors(column: pa.Array | pa.ChunkedArray) -> pa.ExtensionArray:
 
 
 def digest(docs: DataFrame) -> DataFrame:
-    """Store, read back and describe every text in one narrow pass; only digests leave the worker."""
-
-    def run(rows: Iterator[tuple]) -> Iterator[tuple]:
-        for doc_id, text in rows:
-            text = text or b""
-            media = encode_wave(payload_of(text))
-            rate, back = decode_wave(media)
-            tensors, spans = features(back, rate)
-            said = f"segments of {len(tensors)} tensors {hashlib.sha256(tensors.tobytes() + repr(spans).encode()).hexdigest()[:32]} mean {float(tensors.mean()) if len(tensors) else 0:.3f}"
-            yield doc_id, len(text), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(media), hashlib.sha256(media).hexdigest(), said
-
-    return map_rows(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string", binary=("text",))
+    """The contract's columns, from media that are stored in the shared folder and read back, and their tensors."""
+    stored = Scratch(docs.sparkSession).keep(store_texts(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes"), "text")).drop("text"), "media")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for first in range(0, whole.num_rows, 256):
+                batch = whole.slice(first, 256)
+                media = batch.column(2).to_pylist()
+                back = [decode_wave(m)[1] for m in media]
+                feature = described(segment_table(media), len(media))
+                sha = lambda blobs: pa.array([hashlib.sha256(b).hexdigest() for b in blobs])
+                size = lambda blobs: pa.array([len(b) for b in blobs], pa.int64())
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), size(back), sha(back), pa.array([zlib.crc32(b[-64:]) for b in back], pa.int64()), size(media), sha(media), pa.array(feature)], names=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
+
+    return map_batches(stored, run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+
+
+def described(segments_: pa.Table, n: int) -> list[str]:
+    """A line on the tensors and spans of each of n recordings."""
+    tensors = segments_.column("tensor").combine_chunks().to_numpy_ndarray() if segments_.num_rows else np.zeros((0, FRAMES, MELS), np.uint8)
+    spans = list(zip(segments_.column("begin_s").to_pylist(), segments_.column("end_s").to_pylist(), strict=True))
+    cut = np.searchsorted(segments_.column("recording").to_numpy(), np.arange(n + 1)).tolist()
+    out = []
+    for a, b in pairwise(cut):
+        own = tensors[a:b]
+        out.append(f"segments of {b - a} tensors {hashlib.sha256(np.ascontiguousarray(own).tobytes() + repr(spans[a:b]).encode()).hexdigest()[:32]} mean {float(own.mean()) if b > a else 0:.3f}")
+    return out
