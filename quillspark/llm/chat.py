@@ -9,7 +9,9 @@ backslashes and `|` become the same with n + 1 backslashes, so control strings c
 step back is exact; in roles `%`, `|`, `<`, `>` and line ends are written as %XX. The loss mask is a list of code point spans, one per assistant text.
 
 Null text is empty; null roles are empty; a null conv_id is one conversation of its own; turns are ordered by
-turn, then role, then text, nulls first; repeated rows are repeated turns. An empty table gives an empty result.
+turn, then role, then text, nulls first, so ties have an order; repeated rows are repeated turns. Texts may be of any
+length. A conversation is formatted as a whole, as its template is one text. An empty table gives an empty result; other
+columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -26,14 +28,15 @@ from pyspark.sql import functions as F
 from .common import map_rows
 
 ESCAPE, UNESCAPE = re.compile(r"<(\\*)\|"), re.compile(r"<\\(\\*)\|")
+#: What foreign layouts call the roles; rows by turn (layout `turns`) keep theirs as they are.
 ROLES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}
 
 #: name -> (paths that it needs, how it becomes turns). `each`: a list of messages with role and text fields;
 #: `fields`: one turn per field, in order, where the field is there and not empty; `join` adds a second field.
 LAYOUTS: dict[str, dict] = {
-    "messages": {"each": "messages", "role": "role", "text": "content"},
-    "turns": {"each": "turns", "role": "role", "text": "text"},
-    "conversations": {"each": "conversations", "role": "from", "text": "value"},
+    "messages": {"each": "messages", "role": "role", "text": "content", "roles": ROLES},
+    "turns": {"each": "turns", "role": "role", "text": "text", "roles": {}},
+    "conversations": {"each": "conversations", "role": "from", "text": "value", "roles": ROLES},
     "instruction": {"fields": [("system", "system", None), ("user", "instruction", "input"), ("assistant", "output", None)]},
     "instruction_response": {"fields": [("system", "system", None), ("user", "instruction", "context"), ("assistant", "response", None)]},
     "prompt_completion": {"fields": [("user", "prompt", None), ("assistant", "completion", None)]},
@@ -87,7 +90,7 @@ class Canonical:
             self.known[key] = layout_of(paths(record))
         how = LAYOUTS[self.known[key]]
         if "each" in how:
-            return [(ROLES.get(r := m.get(how["role"]) or "", r), m.get(how["text"]) or "") for m in record[how["each"]] or []]
+            return [(how["roles"].get(r := m.get(how["role"]) or "", r), m.get(how["text"]) or "") for m in record[how["each"]] or []]
         out = []
         for role, field, more in how["fields"]:
             if role != "system" or record.get(field):

@@ -43,6 +43,14 @@ def test_layouts(spark):
         chat.Canonical().turns({"what": 1})
 
 
+def test_roles_of_rows_stay(spark):
+    rows = [(1, i, role, f"t{i}") for i, role in enumerate(["human", "gpt", "bot", "model", "assistant", "tool"])]
+    got = chat.format_records(chat.records_of_rows(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))).first()
+    assert [r for r, _ in chat.parse(got.formatted)] == ["human", "gpt", "bot", "model", "assistant", "tool"] and len(got.spans) == 1
+    foreign = {"messages": [{"role": "bot", "content": "x"}, {"role": "tool", "content": "y"}]}
+    assert chat.Canonical().turns(foreign) == [("assistant", "x"), ("tool", "y")]
+
+
 def test_awkward_rows(spark):
     rows = [(1, 0, "user", None, 1), (1, 0, "user", None, 1), (None, 1, None, "x", 2), (2, None, "assistant", "", 3), (2, 5, "assistant", "y" * 100_000, 3)]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, record long")
