@@ -1,16 +1,17 @@
 """Toxicity: a learned lexicon in a trie, met by Levenshtein automata, with context-window scores.
 
 Learning: from a bounded sample of labelled documents (`sample`, by hash of their ids), words and word stems that
-occur in toxic documents far more often than in others form the lexicon (at most `lexicon`). Terms of five or
+occur in toxic documents far more often than in others form the lexicon, all that pass the thresholds. Terms of five or
 more letters may be misspelled: the automaton that accepts everything within one edit of a term (two from nine
 letters on) runs on the trie. Both are one lazily built deterministic automaton, whose states are sets of (trie
 node, edits left); a stem accepts every word that begins with it. A match inside quotation marks, or close to a
 reporting word, counts for quotation, one near a word of address for abuse. A logistic model over these few
 sums turns them into a score; it is fitted on the same bounded sample.
 
-Null and empty texts score by the model's intercept. Ties in the lexicon go by term. Repeated rows score alike.
-Labels that are null are not used; a label twice for one document counts twice. Without any label of either
-kind, every score is the share of toxic labels (0 if there are none).
+Null and empty texts score by the model's intercept. Texts may be of any length and are scored whole. Ties in the lexicon
+go by term. Repeated rows score alike. Labels that are null are not used; a label twice for one document, as a label of a
+repeated doc_id, counts twice. Without any label of either kind, every score is the share of toxic labels (0 if there are
+none); no documents give no rows. Other columns, whatever their names, are ignored, or kept as they are in `row`.
 """
 
 from __future__ import annotations
@@ -27,13 +28,13 @@ from pyspark.sql import functions as F
 
 from .common import crc_mod, map_batches, map_rows
 
-SAMPLE, LEXICON, STEMS = 10_000, 600, (3, 4, 5, 6)
+SAMPLE, STEMS = 10_000, (3, 4, 5, 6)
 WORD = re.compile(r"[^\W_]+(?:['’@$!][^\W_]+)*")
 QUOTES = "\"“”«»„"
 REPORTING = frozenset("said says called word term quote quoted wrote phrase says meaning insult slur dit mot terme sagte wort begriff dijo palabra".split())
 ADDRESS = frozenset("you your you're youre u ur are such these those du dich dein ihr euch tu te toi vous ton eres usted ustedes".split())
 #: Words whose matches a worker remembers, and steps of the automaton that it keeps; both start over when they are full.
-WINDOW, FEATURES, WORDS_KEPT, WORD_BYTES, STEPS_KEPT = 4, 6, 300_000, 80, 100_000
+WINDOW, FEATURES, WORDS_KEPT, WORD_BYTES, STEPS_KEPT = 4, 6, 300_000, 80, 250_000
 
 
 class Model(NamedTuple):
@@ -227,11 +228,11 @@ def constant(n_toxic: int, n: int) -> Model:
     return Model({}, {}, [], [math.log(share / (1 - share)), *[0.0] * FEATURES], [0.0] * FEATURES, [1.0] * FEATURES)
 
 
-def learn(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE, lexicon: int = LEXICON, folds: int = 5) -> Model:
+def learn(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE, folds: int = 5) -> Model:
     """Fit on the `sample` labelled documents outside fold 0 whose ids hash lowest.
 
     Only their ids and labels (at most `sample` rows) are broadcast; their texts are read where they lie. What
-    reaches the driver is bounded too: the lexicon, and FEATURES numbers for each sampled document.
+    reaches the driver is bounded too: the lexicon, whose terms each stand in some sampled documents, and FEATURES numbers for each sampled document.
     """
     spark = docs.sparkSession
     chosen = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (crc_mod("doc_id", folds) != 0)).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(sample)
@@ -256,7 +257,7 @@ def learn(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE, lexicon:
     counted = map_rows(held, count, "term string, clean long, toxic long").groupBy("term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     lift = F.log((F.col("toxic") + 0.5) / (n_toxic + 1)) - F.log((F.col("clean") + 0.5) / (n_clean + 1))
     least = max(3, n_toxic // 200)
-    best = counted.where(F.col("toxic") >= least).withColumn("lift", lift).where(F.col("lift") > math.log(8)).orderBy(F.desc(F.col("lift") * F.sqrt("toxic")), "term").limit(lexicon).collect()
+    best = counted.where(F.col("toxic") >= least).withColumn("lift", lift).where(F.col("lift") > math.log(8)).orderBy(F.desc(F.col("lift") * F.sqrt("toxic")), "term").collect()
     terms, stems = lexicon_of([(r.term, r.toxic, round(r.lift, 6)) for r in best])
 
     loose = Automaton(terms, {})
