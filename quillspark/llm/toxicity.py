@@ -34,7 +34,7 @@ QUOTES = "\"“”«»„"
 REPORTING = frozenset("said says called word term quote quoted wrote phrase says meaning insult slur dit mot terme sagte wort begriff dijo palabra".split())
 ADDRESS = frozenset("you your you're youre u ur are such these those du dich dein ihr euch tu te toi vous ton eres usted ustedes".split())
 #: Words whose matches a worker remembers, and steps of the automaton that it keeps; both start over when they are full.
-WINDOW, FEATURES, WORDS_KEPT, WORD_BYTES, STEPS_KEPT = 4, 6, 300_000, 80, 250_000
+WINDOW, FEATURES, WORDS_KEPT, WORD_BYTES, STEPS_KEPT = 4, 6, 600_000, 80, 250_000
 
 
 class Model(NamedTuple):
