@@ -11,7 +11,8 @@ such a key, in order of document and position, and drops the others.
 
 Null or empty text is one empty line. Keys of fewer than `min_chars` code points are never dropped. Rows with the
 same doc_id and text are one document, and get the same bitmap; a null doc_id sorts first. Line and text may
-be of any length. An empty table gives an empty result.
+be of any length; ties have no part in anything. An empty table gives an empty result. Other columns, whatever their
+names, are kept where documents are returned.
 """
 
 from __future__ import annotations

@@ -20,3 +20,18 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
        sum(13 + length(role) + 2 * len(regexp_extract_all(role, '[%|<>\n]')) + length(text) + len(regexp_extract_all(text, '<\\*\|')))::BIGINT AS formatted_chars
 FROM o GROUP BY conv_id
 """
+
+#: All pairs; below one cell's size the operator compares all pairs too.
+OP9_CELLS = r"""
+WITH RECURSIVE v AS (
+  SELECT row_number() OVER () AS rid, vec_id, embedding::DOUBLE[] AS e,
+         coalesce(len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0, FALSE) AS fine
+  FROM embeddings),
+n AS (SELECT rid, e, sqrt(list_dot_product(e, e)) AS l FROM v WHERE fine),
+link AS (SELECT a.rid AS r, b.rid AS s FROM n a JOIN n b ON a.rid <> b.rid WHERE list_dot_product(a.e, b.e) / (a.l * b.l) >= 0.9),
+reach AS (SELECT rid AS r, rid AS s FROM v UNION SELECT reach.r, link.s FROM reach JOIN link ON reach.s = link.r),
+least AS (SELECT reach.r, min(v.vec_id) AS component_id FROM reach JOIN v ON v.rid = reach.s GROUP BY reach.r),
+many AS (SELECT r, count(*) AS n_links FROM link GROUP BY r)
+SELECT v.vec_id, coalesce(many.n_links, 0)::BIGINT AS n_links, least.component_id, coalesce(v.vec_id = least.component_id, FALSE) AS kept
+FROM v JOIN least ON least.r = v.rid LEFT JOIN many ON many.r = v.rid
+"""

@@ -11,7 +11,8 @@ least. Neither step grows with the square of a group, and both are exact.
 
 Null and empty texts have fingerprint zero and are linked like any other. Ties and repeated rows share their
 fingerprint and component. A null doc_id has no order: it gets its component's smallest doc_id. Texts may be of
-any length (shingles are counted in blocks). An empty table gives an empty result.
+any length (shingles are counted in blocks). An empty table gives an empty result; other columns, whatever their names,
+are ignored.
 """
 
 from __future__ import annotations

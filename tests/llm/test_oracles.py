@@ -4,7 +4,7 @@ import pytest
 
 from quillspark.llm import queries
 
-TABLES = "documents conversations".split()
+TABLES = "documents conversations embeddings".split()
 
 
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))

@@ -53,7 +53,10 @@ def test_awkward_rows(spark, docs, no_docs, sf_dir, tmp_path):
 
 
 def test_registered(spark, sf_dir):
-    assert queries.pipeline(spark, sf_dir).columns[:3] == ["doc_id", "start", "length"] and corpus_pipeline.ORACLE_SQL is None
+    import __spark_entry__
+
+    got = __spark_entry__.queries()["pipeline"](spark, sf_dir)
+    assert got.columns[:3] == ["doc_id", "start", "length"] and got.count() > 0 and corpus_pipeline.ORACLE_SQL is None
     assert 4 <= len(corpus_pipeline.STAGES) <= 5
 
 
