@@ -36,6 +36,8 @@ from .components import components
 SEGMENT, BASE = 1 << 19, 0x9E3779B97F4A7C15
 PICKED, SMALL, CLASSES = 16, 8, 4
 SKETCH_BITS, SPLIT = 512, 512
+#: Rows of three numbers that are few enough to be broadcast.
+FEW = 100_000
 #: Shingles that more sets have are ordered last; of them as many as can be at most, whatever the input's size.
 OFTEN, MOST_OFTEN = 100, 1 << 20
 _SPACE = np.isin(np.arange(256), list(b" \t\n\x0b\x0c\r"))
@@ -250,7 +252,9 @@ class Join:
     def sets_of(self, pairs: DataFrame) -> DataFrame:
         """The sets of all nodes of some pairs."""
         involved = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        wanted = self.nodes.select("node", F.col("doc_id").alias("_doc"), F.col("digest").alias("_digest")).join(involved, "node").hint("shuffle_hash")
+        wanted = self.scratch.keep(self.nodes.select("node", F.col("doc_id").alias("_doc"), F.col("digest").alias("_digest")).join(involved, "node"), "wanted")
+        # a few are sent to where the texts are; of more, the texts are sent to them
+        wanted = F.broadcast(wanted) if wanted.count() <= FEW else wanted.hint("shuffle_hash")
         texts = self.source.join(wanted, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("digest") == F.col("_digest"))).select("node", "text")
         return self.scratch.keep(map_sets(texts, lambda node, found: (node, found.tobytes()), "node long, shingles binary", shingle=self.shingle, columns=1).dropDuplicates(["node"]), "shingles")
 
@@ -265,7 +269,8 @@ class Join:
 
         left, right = (sets.select(F.col("node").alias(side), F.col("shingles").alias(of)) for side, of in (("a", "x"), ("b", "y")))
         links = self.scratch.keep(map_rows(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y"), run, "a long, b long"), "links")
-        self.scratch.forget("shingles")
+        for name in ("shingles", "wanted"):
+            self.scratch.forget(name)
         return links
 
     def by_blocks(self) -> DataFrame:

@@ -100,7 +100,8 @@ def test_frequent_shingles_change_no_group(spark, monkeypatch):
             text[rng.integers(len(text))] = word()
             rows.append((len(rows), " ".join(text)))
     want, df = all_pairs(rows), spark.createDataFrame(rows, "doc_id long, text string")
-    for often, most in ((2, 1 << 20), (100, 1 << 20), (2, 3)):
+    for often, most, few in ((2, 1 << 20, 100_000), (100, 1 << 20, 0), (2, 3, 0)):
+        monkeypatch.setattr(setjoin, "FEW", few)
         monkeypatch.setattr(setjoin, "OFTEN", often)
         monkeypatch.setattr(setjoin, "MOST_OFTEN", most)
         assert {r.doc_id: r.component_id for r in setjoin.near_duplicates(df).collect()} == want
