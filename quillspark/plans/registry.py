@@ -337,7 +337,7 @@ def small_caps_code_ignored(spark, sf_dir):
     return values(supplier_docs(spark, sf_dir, {"caps": caps, "plain": F.concat(F.lit("{shelf\\/ ful "), n, F.lit(" {\\rm roman}}"))}), {"caps": "caps", "plain": "plain"}, OFF).drop("type")
 
 
-@query("SELECT s_suppkey::VARCHAR AS doc_id, 'one <p>two<blockquote>said ' || s_suppkey::VARCHAR || '</blockquote>' AS note, 'set \\ ' || s_suppkey::VARCHAR || ' of x<sub>k</sub>' AS title FROM supplier")
+@query("SELECT s_suppkey::VARCHAR AS doc_id, 'one<p>two<blockquote>said ' || s_suppkey::VARCHAR || '</blockquote>' AS note, 'set \\ ' || s_suppkey::VARCHAR || ' of <span class=\"nocase\">x<sub>k</sub></span>' AS title FROM supplier")
 def blocks_and_math(spark, sf_dir):
     n = F.col("s_suppkey").cast("string")
     note = F.concat(F.lit("{one\\par two\\begin{quotation}said "), n, F.lit("\\end{quotation}}"))
