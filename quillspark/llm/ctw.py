@@ -25,6 +25,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
@@ -56,18 +57,6 @@ def grams(texts: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray]:
     return code[keep], np.concatenate([[0], np.cumsum(n)[:-1]])
 
 
-def parts(texts: list[bytes]) -> Iterator[slice]:
-    """Runs of texts of about PART_BYTES, so that work on n-grams needs little memory at a time."""
-    begin, size = 0, 0
-    for i, text in enumerate(texts):
-        size += len(text) + 1
-        if size >= PART_BYTES:
-            yield slice(begin, i + 1)
-            begin, size = i + 1, 0
-    if begin < len(texts):
-        yield slice(begin, len(texts))
-
-
 _hashes: list[WordHashes] = []
 
 
@@ -91,58 +80,133 @@ def merged(tallies: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np
     return keys, np.bincount(place, np.concatenate([np.zeros(0), *(n for _, n in tallies)]), len(keys)).astype(np.int64)
 
 
-def packed(ids: pa.Array, held: np.ndarray, texts: list[bytes]) -> bytes:
-    """The documents of a chunk as compressed Arrow."""
+class Tallies:
+    """Tallies of a chunk's parts, merged before they are many."""
+
+    def __init__(self) -> None:
+        self.held: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def add(self, tally: tuple[np.ndarray, np.ndarray]) -> None:
+        self.held.append(tally)
+        if len(self.held) > 1 and sum(len(k) for k, _ in self.held[1:]) > max(1 << 20, len(self.held[0][0])):
+            self.held = [merged(self.held)]
+
+
+def packed(batch: pa.RecordBatch) -> bytes:
+    """Documents as compressed Arrow."""
     sink = pa.BufferOutputStream()
-    batch = pa.RecordBatch.from_arrays([ids, pa.array(held), pa.array(texts, pa.large_binary())], names=["doc_id", "held", "text"])
     with pa.ipc.new_stream(sink, batch.schema) as writer:
         writer.write_batch(batch)
     return zstandard.compress(sink.getvalue(), 1)
 
 
-def chunk_rows(number: int, ids: pa.Array, held: np.ndarray, texts: list[bytes], depth: int) -> Iterator[pa.RecordBatch]:
-    """Everything that one chunk of documents sends on."""
-    gram, token = [], [(np.array([END_KEY]), np.array([(~held).sum()]))]
-    for part in parts(texts):
-        code, starts = grams(texts[part], depth)
-        lengths = np.diff(np.append(starts, len(code)))
-        gram.append(tally(code, np.repeat(~held[part], lengths)))
-        keys, place = word_keys(texts[part])
-        token.append(tally(keys, ~held[part][place]))
+def unpacked(blob: bytes) -> pa.Table:
+    return pa.ipc.open_stream(zstandard.decompress(blob)).read_all()
+
+
+def rows_of(kind: int, length: int, number: int, **columns) -> pa.RecordBatch:
+    fixed = {"chunk": pa.array(np.full(length, number)), "kind": pa.array(np.full(length, kind, np.int32))} | columns
+    return pa.RecordBatch.from_arrays([fixed.get(f.name, pa.nulls(length, f.type)) for f in CHUNKS], schema=CHUNKS)
+
+
+class Chunk:
+    """What one chunk of documents sends on: its parts as they are added, its tallies at the end."""
 
-    def batch(kind: int, length: int, **columns) -> pa.RecordBatch:
-        fixed = {"chunk": pa.array(np.full(length, number)), "kind": pa.array(np.full(length, kind, np.int32))} | columns
-        return pa.RecordBatch.from_arrays([fixed.get(f.name, pa.nulls(length, f.type)) for f in CHUNKS], schema=CHUNKS)
+    def __init__(self, number: int, depth: int):
+        self.number, self.depth, self.size, self.gram, self.token = number, depth, 0, Tallies(), Tallies()
 
-    yield batch(DOCS, 1, blob=pa.array([packed(ids, held, texts)], pa.binary()))
-    for kind, found in ((GRAM, gram), (TOKEN, token)):
-        keys, counts = merged(found)
-        for at in range(0, len(keys), 100_000):
-            yield batch(kind, len(part := keys[at : at + 100_000]), key=pa.array(part), n=pa.array(counts[at : at + 100_000]))
+    def add(self, part: pa.RecordBatch) -> pa.RecordBatch:
+        """Count a part (doc_id, held, text); its row."""
+        trained, texts = ~part.column(1).to_numpy(zero_copy_only=False), [t or b"" for t in as_bytes(part.column(2))]
+        code, starts = grams(texts, self.depth)
+        self.gram.add(tally(code, np.repeat(trained, np.diff(np.append(starts, len(code))))))
+        keys, place = word_keys(texts)
+        self.token.add(tally(keys, trained[place]))
+        self.token.add((np.array([END_KEY]), np.array([trained.sum()])))
+        self.size += len(code)
+        documents = pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.large_binary())], names=["doc_id", "held", "text"])
+        return rows_of(DOCS, 1, self.number, blob=pa.array([packed(documents)], pa.binary()))
+
+    def end(self) -> Iterator[pa.RecordBatch]:
+        for kind, found in ((GRAM, self.gram), (TOKEN, self.token)):
+            keys, counts = merged(found.held)
+            for at in range(0, len(keys), 100_000):
+                some = keys[at : at + 100_000]
+                yield rows_of(kind, len(some), self.number, key=pa.array(some), n=pa.array(counts[at : at + 100_000]))
+
+
+def in_parts(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about `size` bytes, one row at least."""
+    held: list[pa.RecordBatch] = []
+    n = 0
+    for whole in batches:
+        lengths = pc.fill_null(pc.binary_length(whole.column(2)), 0).to_numpy(zero_copy_only=False)
+        at = 0
+        for i, length in enumerate(lengths.tolist()):
+            n += length + 1
+            if n >= size:
+                yield pa.concat_batches([*held, whole.slice(at, i + 1 - at)])
+                held, n, at = [], 0, i + 1
+        if at < whole.num_rows:
+            held.append(whole.slice(at))
+    if held:
+        yield pa.concat_batches(held)
 
 
 def cut_chunks(depth: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, size = TaskContext.get().partitionId() << 24, 0
-        ids: list[pa.Array] = []
-        held: list[np.ndarray] = []
-        texts: list[bytes] = []
-        for whole in batches:
-            for first in range(0, whole.num_rows, 256):
-                batch = whole.slice(first, 256)
-                ids.append(batch.column(0))
-                held.append(batch.column(1).to_numpy(zero_copy_only=False))
-                texts += [t or b"" for t in as_bytes(batch.column(2))]
-                size += batch.column(2).nbytes
-                if size >= CHUNK_BYTES:
-                    yield from chunk_rows(number, pa.concat_arrays(ids), np.concatenate(held), texts, depth)
-                    number, size, ids, held, texts = number + 1, 0, [], [], []
-        if texts:
-            yield from chunk_rows(number, pa.concat_arrays(ids), np.concatenate(held), texts, depth)
+        chunk = Chunk(TaskContext.get().partitionId() << 24, depth)
+        for part in in_parts(batches, PART_BYTES):
+            yield chunk.add(part)
+            if chunk.size >= CHUNK_BYTES:
+                yield from chunk.end()
+                chunk = Chunk(chunk.number + 1, depth)
+        if chunk.size:
+            yield from chunk.end()
 
     return run
 
 
+def by_bytes(x: np.ndarray) -> bytes:
+    """Numbers byte by byte, all first bytes first, which compresses well."""
+    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes()
+
+
+def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (chunk, key, value) as one row for each chunk and run of rows: sorted keys and their values, compressed."""
+
+    def blobs(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not held:
+            return
+        chunk, key, value = (np.concatenate([b.column(i).to_numpy(zero_copy_only=False) for b in held]) for i in range(3))
+        order = np.lexsort((key, chunk))
+        chunk, key, value = chunk[order], key[order], value[order]
+        numbers, first = np.unique(chunk, return_index=True)
+        rows = [zstandard.compress(by_bytes(np.diff(k, prepend=0)) + by_bytes(v), 1) for k, v in zip(np.split(key, first[1:]), np.split(value, first[1:]), strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array(numbers), pa.array(rows, pa.binary())], names=["chunk", "blob"])
+
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        if n >= 1 << 20:
+            yield from blobs(held)
+            held, n = [], 0
+    yield from blobs(held)
+
+
+def received(blobs: list[bytes], kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """Keys and values of some blobs."""
+    keys, values = [np.zeros(0, np.int64)], [np.zeros(0, kind)]
+    for blob in blobs:
+        raw = np.frombuffer(zstandard.decompress(blob), np.uint8)
+        n = len(raw) // (8 + np.dtype(kind).itemsize)
+        number = lambda part, of: np.ascontiguousarray(part.reshape(-1, n).T).view(of).ravel()  # noqa: B023, E731
+        keys.append(np.cumsum(number(raw[: 8 * n], np.int64)))
+        values.append(number(raw[8 * n :], kind))
+    return np.concatenate(keys), np.concatenate(values)
+
+
 def log_gamma(x: np.ndarray) -> np.ndarray:
     """ln Gamma for x >= 1/2, by Stirling's series past 8."""
     x = np.asarray(x, float)
@@ -277,38 +341,33 @@ def score_texts(docs: DataFrame, *, folds: int = 10, depth: int = DEPTH) -> Data
     counts = scratch.keep(chunk_tokens.select("chunk", "key", "n", F.sum("n").over(same).alias("c"), (F.min("chunk").over(same) == F.col("chunk")).alias("head")), "tokens")
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.when(F.col("head") & (F.col("c") > 0), 1)).alias("v")).first()
     train_tokens, distinct = int(total["n"]), int(total["v"])
-    sent = F.col("value").cast("float").alias("value")  # seven digits of a byte's logarithm
-    told = chunk_grams.join(values.withColumnRenamed("gram", "key"), "key").select("chunk", "key", sent, F.lit(None).cast("long").alias("c")).unionByName(counts.select("chunk", "key", F.lit(None).cast("float").alias("value"), "c"))
+    # a byte's logarithm to seven digits
+    told = chunk_grams.join(values.withColumnRenamed("gram", "key"), "key").select("chunk", "key", F.col("value").cast("float").alias("value"))
+    tables = [map_batches(df, send, "chunk long, blob binary").withColumn("kind", F.lit(kind)) for kind, df in ((GRAM, told), (TOKEN, counts.select("chunk", "key", "c")))]
+    sent = cut.where(F.col("kind") == DOCS).select("chunk", "blob", "kind").unionByName(tables[0]).unionByName(tables[1])
     floor = np.log10(train_tokens + 0.1 * (distinct + 1))
     scratch.sweep()
 
-    def score(left: pa.Table, right: pa.Table) -> pa.Table:
-        rows = pa.ipc.open_stream(zstandard.decompress(left.column("blob")[0].as_py())).read_all()
-        texts = rows.column("text").to_pylist()
-        key, value, c = (right.column(name).combine_chunks() for name in ("key", "value", "c"))
-        key, is_gram = key.to_numpy(), value.is_valid().to_numpy(zero_copy_only=False)
-        logs = Lookup(key[is_gram], value.drop_null().to_numpy().astype(float))
-        known = Lookup(key[~is_gram], c.drop_null().to_numpy())
+    def score(chunk: pa.Table) -> pa.Table:
+        blobs = lambda kind: chunk.filter(pc.equal(chunk.column("kind"), kind)).column("blob").to_pylist()
+        logs, known = Lookup(*received(blobs(GRAM), np.float32)), Lookup(*received(blobs(TOKEN), np.int64))
         end = known(np.array([END_KEY]))[0]
-        scores, base, n_tokens, n_known = [], [], [], []
-        for part in parts(texts):
-            some = texts[part]
-            code, starts = grams(some, depth)
-            scores.append(np.add.reduceat(logs(code), starts))
-            keys, place = word_keys(some)
+        out = []
+        for blob in blobs(DOCS):
+            rows = unpacked(blob)
+            texts = rows.column("text").to_pylist()
+            code, starts = grams(texts, depth)
+            scores = np.add.reduceat(logs(code).astype(float), starts)
+            keys, place = word_keys(texts)
             counted = known(keys)
-            per = lambda x: np.bincount(place, x, len(some))  # noqa: B023, E731
-            base.append(per(np.log10(counted + 0.1) - floor) + np.log10(end + 0.1) - floor)
-            n_tokens.append(per(None) + 1)
-            n_known.append(per(counted > 0) + (end > 0))
-        scores, base, n_tokens, n_known = map(np.concatenate, (scores, base, n_tokens, n_known))
-        n_bytes = np.array([len(t) for t in texts])
-        # bits by byte, the end mark counted as one
-        bits = -scores * np.log2(10) / (n_bytes + 1)
-        whole = lambda x: pa.array(x.astype(np.int64))
-        columns = {"doc_id": rows.column("doc_id"), "held_out": rows.column("held"), "n_tokens": whole(n_tokens), "n_known": whole(n_known), "train_tokens": pa.array(np.full(len(texts), train_tokens)), "base_score": pa.array(base), "score": pa.array(scores), "bits_per_byte": pa.array(bits)}
-        return pa.table(columns)
-
-    blobs = cut.where(F.col("kind") == DOCS).select(F.col("chunk").alias("at"), "blob")
+            per = lambda x: np.bincount(place, x, len(texts))  # noqa: B023, E731
+            base = per(np.log10(counted + 0.1) - floor) + np.log10(end + 0.1) - floor
+            whole = lambda x: pa.array(x.astype(np.int64))
+            # bits by byte, the end mark counted as one
+            bits = -scores * np.log2(10) / np.diff(np.append(starts, len(code)))
+            columns = {"doc_id": rows.column("doc_id"), "held_out": rows.column("held"), "n_tokens": whole(per(None) + 1), "n_known": whole(per(counted > 0) + (end > 0)), "train_tokens": pa.array(np.full(len(texts), train_tokens)), "base_score": pa.array(base), "score": pa.array(scores), "bits_per_byte": pa.array(bits)}
+            out.append(pa.table(columns))
+        return pa.concat_tables(out)
+
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double"
-    return blobs.groupBy("at").cogroup(told.groupBy("chunk")).applyInArrow(lambda left, right: tidy_after(score, left, right), schema)
+    return sent.groupBy("chunk").applyInArrow(lambda chunk: tidy_after(score, chunk), schema)

@@ -113,13 +113,23 @@ def test_chunks_change_nothing(spark, sf_dir):
         assert r.score == pytest.approx(want[r.doc_id].score, rel=1e-9) and r.base_score == pytest.approx(want[r.doc_id].base_score, rel=1e-9) and r.n_known == want[r.doc_id].n_known
 
 
-def test_parts_change_nothing(monkeypatch):
-    texts = [b"the cat " * k for k in range(40)] + [b"", b"x" * 300]
-    held = np.arange(len(texts)) % 5 == 0
-    rows = lambda: [r.to_pylist() for r in ctw.chunk_rows(3, pa.array(range(len(texts))), held, texts, 5)]
-    want = rows()
-    monkeypatch.setattr(ctw, "PART_BYTES", 50)
-    assert rows() == want and len(want) == 3
+def test_parts_and_blobs_change_nothing():
+    texts = ["the cat " * k for k in range(40)] + ["", None, "x" * 300, "ü"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array([i % 5 == 0 for i in range(len(texts))]), pa.array(texts)], names=["doc_id", "held", "text"])
+    found = []
+    for size in (1, 50, 1 << 20):
+        chunk, rows = ctw.Chunk(3, 5), []
+        for part in ctw.in_parts(iter([batch.slice(0, 7), batch.slice(7)]), size):
+            rows += ctw.unpacked(chunk.add(part).column("blob")[0].as_py()).to_pylist()
+        assert [(r["doc_id"], r["held"], r["text"].decode()) for r in rows] == [(i, i % 5 == 0, t or "") for i, t in enumerate(texts)]
+        found.append([r.to_pylist() for r in chunk.end()])
+    assert found[0] == found[1] == found[2]
+    rng = np.random.default_rng(1)
+    keys, chunks, values = np.unique(rng.integers(-(1 << 62), 1 << 62, 900)), rng.integers(0, 4, 900), rng.random(900).astype(np.float32)
+    batches = [pa.RecordBatch.from_arrays([pa.array(chunks[i : i + 100]), pa.array(keys[i : i + 100]), pa.array(values[i : i + 100])], names=["chunk", "key", "value"]) for i in range(0, 900, 100)]
+    sent = [r for b in ctw.send(iter(batches)) for r in b.to_pylist()]
+    back = {(r["chunk"], k): v for r in sent for k, v in zip(*(x.tolist() for x in ctw.received([r["blob"]], np.float32)), strict=True)}
+    assert back == {(int(c), int(k)): float(v) for c, k, v in zip(chunks, keys, values, strict=True)}
 
 
 def test_held_out_documents_beat_the_base(spark, sf_dir):
