@@ -13,9 +13,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.tables import table
+
 #: Words are runs of anything but these bytes; bytes.split() without an argument cuts at just these.
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _local: dict[str, str] = {}
+__all__ = ["BATCH", "LOWER", "Scratch", "as_bytes", "crc_mod", "drop", "fresh", "join_copies", "map_batches", "map_rows", "schema_of", "shared_dir", "stage", "table", "tidy_after", "words"]
 
 
 def words(text: bytes) -> list[bytes]:
@@ -23,10 +26,6 @@ def words(text: bytes) -> list[bytes]:
     return text.translate(LOWER).split()
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def shared_dir(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir; only where the session names none and runs in one process (tests), one of our own."""
     base = spark.conf.get("spark.checkpoint.dir", None)

@@ -31,6 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import splits
 from .common import Scratch, as_bytes, crc_mod, map_batches, tidy_after
 from .setjoin import WordHashes
 
@@ -328,9 +329,9 @@ def score_texts(docs: DataFrame, *, folds: int = 10, depth: int = DEPTH) -> Data
         raise ValueError("depth is 2 to 6 bytes")
     scratch, spark = Scratch(docs.sparkSession), docs.sparkSession
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (crc_mod("doc_id", folds) == 0).alias("held"), "text")
-    splits = source.rdd.getNumPartitions()
-    joined = splits // (2 * spark.sparkContext.defaultParallelism)
-    source = source.coalesce(splits // joined) if joined > 1 else source
+    n = splits(source) or 0
+    joined = n // (2 * spark.sparkContext.defaultParallelism)
+    source = source.coalesce(n // joined) if joined > 1 else source
     cut = scratch.keep(map_batches(source, cut_chunks(depth), "chunk long, kind int, key long, n long, blob binary"), "chunks", "kind")
     chunk_grams, chunk_tokens = (cut.where(F.col("kind") == kind).select("chunk", "key", "n") for kind in (GRAM, TOKEN))
     summed = scratch.keep(chunk_grams.groupBy("key").agg(F.sum("n").alias("n")), "grams")
