@@ -256,7 +256,7 @@ def field_freq(spark, sf_dir):
 
 @query(
     "WITH r AS (SELECT p_type AS abbr, p_name || '.' AS whole, 't' || (p_size % 3)::VARCHAR AS src, (p_size % 3) * 1000000000 + p_partkey AS o FROM part WHERE p_size % 7 <> 0 AND p_brand <> 'Brand#11'),"
-    " g AS (SELECT abbr, arg_max(whole, o) AS w, arg_max(src, o) AS s, min(o) AS first FROM r GROUP BY abbr) SELECT abbr, w AS \"full\", s AS source, row_number() OVER (ORDER BY first) AS nth FROM g"
+    " g AS (SELECT abbr, arg_max(whole, o) AS w, arg_max(src, o) AS s, min(o) AS first FROM r GROUP BY abbr) SELECT abbr, w AS \"full\", s AS source, first // 1000000000 AS load_ord, first % 1000000000 AS row_ord FROM g"
 )
 def abbrev_merge(spark, sf_dir):
     rows = table(spark, sf_dir, "part").select(
@@ -264,8 +264,7 @@ def abbrev_merge(spark, sf_dir):
         F.when(F.col("p_brand") == "Brand#11", F.concat(F.lit("#"), "p_type")).otherwise(F.col("p_type")).alias("abbr"),
         F.concat(F.lit("t"), (F.col("p_size") % 3).cast("string")).alias("source"), (F.col("p_size") % 3).alias("load_ord"), F.col("p_partkey").alias("row_ord"),
     )
-    # one row per abbreviation, of which there are as many as part types
-    return abbrev.merge(rows).select("abbr", "full", "source", F.row_number().over(Window.orderBy("pos")).cast("long").alias("nth"))
+    return abbrev.merge(rows).select("abbr", "full", "source", F.col("pos.load_ord").cast("long").alias("load_ord"), F.col("pos.row_ord").cast("long").alias("row_ord"))
 
 
 @query(
@@ -417,3 +416,10 @@ def csv_files(spark, sf_dir):
     # files are named in order, and lines are numbered in order in each
     place = back.select("abbr", "full", "source", F.col("_metadata.file_name").alias("file"), F.monotonically_increasing_id().alias("line"))
     return place.select("abbr", "full", "source", (F.row_number().over(Window.orderBy("file", "line")) - 1).cast("long").alias("nth"))
+
+
+@query("SELECT s_suppkey::VARCHAR AS doc_id, 'jabref-meta: selector_' || s_nationkey::VARCHAR || ':a;' AS meta, 'no jabref ' || s_suppkey::VARCHAR AS comment FROM supplier")
+def jabref_metadata(spark, sf_dir):
+    rows = table(spark, sf_dir, "supplier")
+    text = F.concat(F.lit("@comment{jabref-meta: selector_"), F.col("s_nationkey").cast("string"), F.lit(":a;}\n@comment{no jabref "), F.col("s_suppkey").cast("string"), F.lit("}\n"))
+    return parse.parse_bibtex(documents(rows, F.col("s_suppkey"), text), OFF).select("doc_id", F.element_at("jabref", 1).alias("meta"), F.element_at("comments", 1).alias("comment"))
