@@ -8,7 +8,7 @@ The template writes `<|role|>` NEWLINE text `<|end|>` NEWLINE per turn. Inside t
 backslashes and `|` become the same with n + 1 backslashes, so control strings cannot occur in a text and the
 step back is exact; in roles `%`, `|`, `<`, `>` and line ends are written as %XX. The loss mask is a list of code point spans, one per assistant text.
 
-Null text is empty; null roles are empty; a null conv_id is one conversation of its own; turns are ordered by
+Null text is empty; null roles are empty; a row without a conv_id is a conversation of its own; turns are ordered by
 turn, then role, then text, nulls first, so ties have an order; repeated rows are repeated turns. Texts may be of any
 length. A conversation is formatted as a whole, as its template is one text. An empty table gives an empty result; other
 columns, whatever their names, are ignored.
@@ -149,7 +149,10 @@ def format_records(records: DataFrame, *, id_column: str = "conv_id", json_colum
 def records_of_rows(rows: DataFrame) -> DataFrame:
     """Rows by turn as one JSON record (layout `turns`) per conversation: the only shuffle."""
     turn = F.struct(F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    grouped = rows.groupBy(F.col("conv_id").cast("long").alias("conv_id")).agg(F.array_sort(F.collect_list(turn)).alias("turns"))
+    key = F.col("conv_id").cast("long")
+    # rows without an id have nothing in common
+    alone = F.when(key.isNull(), F.monotonically_increasing_id())
+    grouped = rows.select(key.alias("conv_id"), alone.alias("alone"), turn.alias("turn")).groupBy("conv_id", "alone").agg(F.array_sort(F.collect_list("turn")).alias("turns"))
     return grouped.select("conv_id", F.to_json(F.struct("turns")).alias("record"))
 
 

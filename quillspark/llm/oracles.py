@@ -13,12 +13,13 @@ FROM k LEFT JOIN many ON k.key = many.key GROUP BY k.rid, k.doc_id
 OP7_CHAT = r"""
 WITH r AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
            UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')),
-o AS (SELECT conv_id, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i FROM r)
+n AS (SELECT *, CASE WHEN conv_id IS NULL THEN row_number() OVER () END AS alone FROM r),
+o AS (SELECT conv_id, alone, role, text, row_number() OVER (PARTITION BY conv_id, alone ORDER BY turn NULLS FIRST, role, text) AS i FROM n)
 SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY i)) AS turns_sha256,
        coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
        sha256(coalesce(string_agg(text, '' ORDER BY i) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
        sum(13 + length(role) + 2 * len(regexp_extract_all(role, '[%|<>\n]')) + length(text) + len(regexp_extract_all(text, '<\\*\|')))::BIGINT AS formatted_chars
-FROM o GROUP BY conv_id
+FROM o GROUP BY conv_id, alone
 """
 
 #: All pairs; below one cell's size the operator compares all pairs too.

@@ -52,8 +52,9 @@ def test_roles_of_rows_stay(spark):
 
 
 def test_awkward_rows(spark):
-    rows = [(1, 0, "user", None, 1), (1, 0, "user", None, 1), (None, 1, None, "x", 2), (2, None, "assistant", "", 3), (2, 5, "assistant", "y" * 100_000, 3)]
+    rows = [(1, 0, "user", None, 1), (1, 0, "user", None, 1), (None, 1, None, "x", 2), (None, 2, "user", "y", 2), (2, None, "assistant", "", 3), (2, 5, "assistant", "y" * 100_000, 3)]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, record long")
-    got = {r.conv_id: r for r in chat.read_back(chat.format_records(chat.records_of_rows(df))).collect()}
-    assert got[1].n_turns == 2 and got[None].n_turns == 1 and got[2].loss_chars == 100_000
+    found = chat.read_back(chat.format_records(chat.records_of_rows(df))).collect()
+    got = {r.conv_id: r for r in found}
+    assert len(found) == 4 and got[1].n_turns == 2 and got[None].n_turns == 1 and got[2].loss_chars == 100_000
     assert chat.records_of_rows(df.limit(0)).count() == 0

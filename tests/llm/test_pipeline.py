@@ -1,8 +1,12 @@
+import zlib
+
 import corpus_pipeline
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
-from quillspark.llm import queries, setjoin
+from quillspark.llm import packing, queries, setjoin
 from tests.llm.test_linededup import key
 from tests.llm.test_setjoin import brute_set
 
@@ -36,6 +40,12 @@ def test_stages(spark, sf_dir, tmp_path):
     m = mixed.groupBy("doc_id").count().toPandas()
     assert m["count"].max() <= 3 and set(m.doc_id) <= kept
     assert packed.select("doc_id").distinct().count() == len(m)
+    # every row of the mix, token by token
+    tokenizer, want = Tokenizer.from_file(queries.tokenizer_path()), []
+    for r in mixed.collect():
+        ids = [*tokenizer.encode(r.text, add_special_tokens=False).ids, 2]
+        want += [(r.doc_id, a, n, zlib.crc32(np.array(ids[a : a + n], "<u4").tobytes()), len(ids)) for a, n in packing.pieces(len(ids), 4096)]
+    assert sorted(want) == sorted((r.doc_id, r.start, r.length, r.ids_crc32, r.doc_tokens) for r in packed.collect())
 
 
 def test_awkward_rows(spark, docs, no_docs, sf_dir, tmp_path):
