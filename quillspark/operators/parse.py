@@ -274,7 +274,9 @@ def entries_as_json(parsed: DataFrame) -> DataFrame:
     sorted_map = lambda pairs: F.map_from_entries(F.array_sort(pairs))
     people = lambda f: F.to_json(F.transform(f["people"], lambda p: F.struct(*[p[k].alias(k) for k in sorted(names.PERSON_KEYS)])))
     said = lambda f: F.coalesce(f["value"], F.to_json(f["list"]), people(f))
-    one = lambda e: F.struct(sorted_map(F.transform(e["fields"], lambda f: F.struct(f["name"], said(f)))).alias("fields"), e["input"].alias("input"), e["key"].alias("key"), sorted_map(F.transform(e["fields"], lambda f: F.struct(f["name"], f["mode"]))).alias("mode"), e["type"].alias("type"))
+    fields_ = lambda e: sorted_map(F.transform(e["fields"], lambda f: F.struct(f["name"], said(f))))
+    modes = lambda e: sorted_map(F.transform(e["fields"], lambda f: F.struct(f["name"], f["mode"])))
+    one = lambda e: F.struct(fields_(e).alias("fields"), e["input"].alias("input"), e["key"].alias("key"), modes(e).alias("mode"), e["type"].alias("type"))
     whole = F.struct("comments", F.transform("entries", one).alias("entries"), "errors", "fatal", "jabref", "preamble", sorted_map(F.map_entries("strings")).alias("strings"))
     return parsed.select(F.to_json(whole).alias("value"))
 

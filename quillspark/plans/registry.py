@@ -169,13 +169,19 @@ def links(spark, sf_dir):
     return fields_of(documents(table(spark, sf_dir, "pages"), F.col("page_id"), entry("online", key("g", "page_id"), {"note": note}))).select("doc_id", "value")
 
 
+def order_titles(spark: SparkSession, sf_dir: str, title: Column, options: Options) -> DataFrame:
+    k = F.col("o_orderkey")
+    docs = documents(table(spark, sf_dir, "orders"), k, entry("article", k.cast("string"), {"title": title}))
+    return parse.entry_values(docs, ("title",), options).select("doc_id", "title")
+
+
 @query(
     "SELECT o_orderkey::VARCHAR AS doc_id, 'Report on priority ' || lower(regexp_replace(o_orderpriority, '[^A-Za-z]', '', 'g')) || ': The status of NASA order ' || o_orderkey::VARCHAR || ' – a ' || 'follow-up by <i>kept</i> Iota' AS title FROM orders"
 )
 def sentence_case(spark, sf_dir):
     word = F.initcap(F.regexp_replace("o_orderpriority", "[^A-Za-z]", ""))
     title = F.concat(F.lit("{Report on Priority "), word, F.lit(": The Status of NASA Order "), F.col("o_orderkey").cast("string"), F.lit(" -- A Follow-Up by {\\em Kept} {Iota}}"))
-    return values(documents(table(spark, sf_dir, "orders"), F.col("o_orderkey"), entry("article", F.col("o_orderkey").cast("string"), {"title": title})), {"title": "title"}, Options(sentencecase="on")).select(F.col("citekey").alias("doc_id"), "title")
+    return order_titles(spark, sf_dir, title, Options(sentencecase="on"))
 
 
 @query(
@@ -183,7 +189,7 @@ def sentence_case(spark, sf_dir):
 )
 def guess_case(spark, sf_dir):
     title = F.when(F.col("o_orderkey") % 2 == 0, "{Measured values from the Berlin order ").otherwise("{Measured Values from the Berlin Order ")
-    return values(documents(table(spark, sf_dir, "orders"), F.col("o_orderkey"), entry("article", F.col("o_orderkey").cast("string"), {"title": F.concat(title, F.col("o_orderkey").cast("string"), F.lit("}"))})), {"title": "title"}, Options()).select(F.col("citekey").alias("doc_id"), "title")
+    return order_titles(spark, sf_dir, F.concat(title, F.col("o_orderkey").cast("string"), F.lit("}")), Options())
 
 
 def protection_sql(n: str) -> str:
@@ -224,7 +230,8 @@ def title_function(spark, sf_dir):
 def mixed_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "orders")
     k, status = F.col("o_orderkey").cast("string"), F.lower("o_orderstatus")
-    text = F.concat(F.lit("@comment about "), k, F.lit("\n@Comment{\nsome {more} }\n@preamble{ \"\\\\def\\\\x{"), k, F.lit("}\" }\n@TYPE_"), status, F.lit("{ k:"), k, F.lit(" , year = 1990, ,\n total = {"), F.col("o_totalprice").cast("decimal(18,2)").cast("string"), F.lit("},,}\n% tail\n"))
+    total = F.col("o_totalprice").cast("decimal(18,2)").cast("string")
+    text = F.concat(F.lit("@comment about "), k, F.lit("\n@Comment{\nsome {more} }\n@preamble{ \"\\\\def\\\\x{"), k, F.lit("}\" }\n@TYPE_"), status, F.lit("{ k:"), k, F.lit(" , year = 1990, ,\n total = {"), total, F.lit("},,}\n% tail\n"))
     return documents(rows, F.col("o_orderkey"), text)
 
 
@@ -407,7 +414,8 @@ def csv_files(spark, sf_dir):
     """Two ordered tables in files, merged and written, and the written rows in the order of the files and their lines."""
     nation, region, path = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region"), folder(spark, "csv")
     base = nation.select(F.col("n_name"), F.concat(F.lit("N. "), "n_name"), F.lit("more columns"), F.col("n_nationkey").alias("o"))
-    more = nation.where("n_nationkey % 2 = 0").select(F.concat("n_name", F.lit(' "new"')), F.concat(F.lit("N. "), "n_name"), F.lit(""), F.col("n_nationkey").alias("o")).union(region.select("r_name", F.concat(F.lit("R. "), "r_name"), F.lit(""), F.col("r_regionkey") + 100))
+    renamed = nation.where("n_nationkey % 2 = 0").select(F.concat("n_name", F.lit(' "new"')), F.concat(F.lit("N. "), "n_name"), F.lit(""), F.col("n_nationkey").alias("o"))
+    more = renamed.union(region.select("r_name", F.concat(F.lit("R. "), "r_name"), F.lit(""), F.col("r_regionkey") + 100))
     for name, rows in (("base.csv", base), ("more.csv", more)):
         rows.coalesce(1).sortWithinPartitions("o").drop("o").write.csv(f"{path}/{name}", sep=";", escape='"', quoteAll=True)
     merged = abbrev.merge(read_ordered_csv(spark, [f"{path}/base.csv", f"{path}/more.csv"]))
