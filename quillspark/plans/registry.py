@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..operators import abbrev, parse
 from ..options import MATRIX, Options
-from ..sources.files import read_ordered_csv, read_text, read_titles, sentence_cased, write_ordered_csv
+from ..sources.files import read_ordered_csv, read_text, read_titles, sentence_cased, write_golden, write_ordered_csv
 from ..sources.tables import table
 from .render import ACCENTED, accented, braced, documents, entry, escaped
 from .shared import folder
@@ -431,3 +431,32 @@ def jabref_metadata(spark, sf_dir):
     rows = table(spark, sf_dir, "supplier")
     text = F.concat(F.lit("@comment{jabref-meta: selector_"), F.col("s_nationkey").cast("string"), F.lit(":a;}\n@comment{no jabref "), F.col("s_suppkey").cast("string"), F.lit("}\n"))
     return parse.parse_bibtex(documents(rows, F.col("s_suppkey"), text), OFF).select("doc_id", F.element_at("jabref", 1).alias("meta"), F.element_at("comments", 1).alias("comment"))
+
+
+@query("SELECT s_suppkey::VARCHAR AS doc_id, 'Journal of the ACM' AS journal, 'a < ' || s_suppkey::VARCHAR || ' & b > \"c\"' AS howpublished FROM supplier")
+def built_in_macros_and_no_escapes(spark, sf_dir):
+    docs = supplier_docs(spark, sf_dir, {"journal": F.lit("jacm"), "howpublished": text_of("s_suppkey", "a < ", ' \\& b > "c"')})
+    return parse.entry_values(docs, ("journal", "howpublished"), OFF).select("doc_id", "journal", "howpublished")
+
+
+@query(
+    "SELECT s_suppkey::VARCHAR AS doc_id, 'keep' AS unsupported, 'a \\nosuch' || s_suppkey::VARCHAR AS note FROM supplier"
+    " UNION ALL SELECT s_suppkey::VARCHAR, 'drop', 'a ' || s_suppkey::VARCHAR FROM supplier"
+)
+def unsupported_policies(spark, sf_dir):
+    docs = supplier_docs(spark, sf_dir, {"note": text_of("s_suppkey", "a \\nosuch ")})
+    each = [parse.entry_values(docs, ("note",), Options(sentencecase="off", unsupported=u)).select("doc_id", F.lit(u).alias("unsupported"), "note") for u in ("keep", "drop")]
+    return reduce(DataFrame.unionByName, each)
+
+
+@query(
+    "SELECT 'n' || n_nationkey::VARCHAR AS citekey, '{\"number\":\"' || n_regionkey::VARCHAR || '\",\"place\":\"' || n_name || '\"}' AS fields, '{\"number\":\"literal\",\"place\":\"literal\"}' AS mode,"
+    " 'comments entries errors jabref preamble strings' AS names FROM nation"
+)
+def golden_lines(spark, sf_dir):
+    """Written as goldens are, and read back."""
+    path, nation = folder(spark, "golden"), table(spark, sf_dir, "nation")
+    text = entry("misc", key("n", "n_nationkey"), {"place": braced(escaped(F.col("n_name"))), "number": F.col("n_regionkey").cast("string")})
+    write_golden(parse.parse_bibtex(documents(nation, F.col("n_nationkey"), text), OFF), path)
+    said = lambda at: F.get_json_object("value", f"$.entries[0].{at}").alias("citekey" if at == "key" else at)
+    return spark.read.text(path).select(said("key"), said("fields"), said("mode"), F.array_join(F.json_object_keys("value"), " ").alias("names"))
