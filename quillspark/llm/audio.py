@@ -176,7 +176,10 @@ def media_features(media: DataFrame, *, id_column: str = "doc_id", media_column:
                 found = segment_table(batch.column(1).to_pylist()).combine_chunks()
                 tensors = found.column("tensor").combine_chunks().storage.flatten().to_numpy().tobytes()
                 size = FRAMES * MELS
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(found.column("recording").combine_chunks()), *(found.column(c).combine_chunks() for c in ("n", "begin_s", "end_s")), pa.array([tensors[i : i + size] for i in range(0, len(tensors), size)], pa.binary())], names=["doc_id", "n", "begin_s", "end_s", "tensor"])
+                n, begin, end = (found.column(c).combine_chunks() for c in ("n", "begin_s", "end_s"))
+                each = pa.array([tensors[i : i + size] for i in range(0, len(tensors), size)], pa.binary())
+                ids = batch.column(0).take(found.column("recording").combine_chunks())
+                yield pa.RecordBatch.from_arrays([ids, n, begin, end, each], names=["doc_id", "n", "begin_s", "end_s", "tensor"])
 
     return map_batches(media.select(F.col(id_column).cast("long").alias("doc_id"), media_column), run, "doc_id long, n int, begin_s double, end_s double, tensor binary")
 
@@ -201,7 +204,9 @@ def digest(docs: DataFrame) -> DataFrame:
                 feature = described(segment_table(media), len(media))
                 sha = lambda blobs: pa.array([hashlib.sha256(b).hexdigest() for b in blobs])
                 size = lambda blobs: pa.array([len(b) for b in blobs], pa.int64())
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), size(back), sha(back), pa.array([zlib.crc32(b[-64:]) for b in back], pa.int64()), size(media), sha(media), pa.array(feature)], names=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
+                tail = pa.array([zlib.crc32(b[-64:]) for b in back], pa.int64())
+                names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), size(back), sha(back), tail, size(media), sha(media), pa.array(feature)], names=names)
 
     return map_batches(stored, run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
 

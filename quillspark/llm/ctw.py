@@ -366,7 +366,8 @@ def score_texts(docs: DataFrame, *, folds: int = 10, depth: int = DEPTH) -> Data
             whole = lambda x: pa.array(x.astype(np.int64))
             # bits by byte, the end mark counted as one
             bits = -scores * np.log2(10) / np.diff(np.append(starts, len(code)))
-            columns = {"doc_id": rows.column("doc_id"), "held_out": rows.column("held"), "n_tokens": whole(per(None) + 1), "n_known": whole(per(counted > 0) + (end > 0)), "train_tokens": pa.array(np.full(len(texts), train_tokens)), "base_score": pa.array(base), "score": pa.array(scores), "bits_per_byte": pa.array(bits)}
+            columns = {"doc_id": rows.column("doc_id"), "held_out": rows.column("held"), "n_tokens": whole(per(None) + 1), "n_known": whole(per(counted > 0) + (end > 0))}
+            columns |= {"train_tokens": pa.array(np.full(len(texts), train_tokens)), "base_score": pa.array(base), "score": pa.array(scores), "bits_per_byte": pa.array(bits)}
             out.append(pa.table(columns))
         return pa.concat_tables(out)
 

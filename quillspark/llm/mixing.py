@@ -117,7 +117,9 @@ def placed(units: DataFrame, scratch: Scratch) -> DataFrame:
     bucket = F.floor((F.col("place").cast("double") + float(1 << 63)) / float(width)).cast("long")
     keyed = units.withColumn("bucket", bucket)
     sums = keyed.groupBy("source", "bucket").agg(F.sum("size").alias("words"))
-    before = scratch.keep(sums.withColumn("before", F.sum("words").over(Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))).select(F.col("source").alias("_source"), F.col("bucket").alias("_bucket"), F.coalesce("before", F.lit(0)).alias("before")), "before")
+    earlier = F.sum("words").over(Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
+    before = sums.select(F.col("source").alias("_source"), F.col("bucket").alias("_bucket"), F.coalesce(earlier, F.lit(0)).alias("before"))
+    before = scratch.keep(before, "before")
     inside = Window.partitionBy("source", "bucket").orderBy("place", "key", "size", "nth").rowsBetween(Window.unboundedPreceding, -1)
     run = keyed.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     joined = run.join(before.hint("merge"), F.col("source").eqNullSafe(F.col("_source")) & (F.col("bucket") == F.col("_bucket")))

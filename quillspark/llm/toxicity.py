@@ -235,7 +235,8 @@ def learn(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE, folds: in
     reaches the driver is bounded too: the lexicon, whose terms each stand in some sampled documents, and FEATURES numbers for each sampled document.
     """
     spark = docs.sparkSession
-    chosen = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (crc_mod("doc_id", folds) != 0)).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(sample)
+    known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (crc_mod("doc_id", folds) != 0))
+    chosen = known.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(sample)
     rows = [(r.doc_id, int(r.toxic > 0)) for r in chosen.collect()]
     n_toxic = sum(t for _, t in rows)
     n_clean = len(rows) - n_toxic
