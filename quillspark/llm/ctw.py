@@ -7,9 +7,9 @@ is learned from the training rows and then held; the score is the sum of log10 P
 mark, and code length per byte follows from it.
 
 One pass cuts the documents into chunks and counts each chunk's byte n-grams and the 64-bit hashes of its words
-(training counts; 0 for what only held-out rows have). The n-grams' sums, dealt by their last two context bytes, hold
-all tree nodes below those contexts together; what is above is at most 65,280 nodes, which the driver mixes. Each chunk
-then gets back the probabilities of its own n-grams and the counts of its own words, so nothing that grows with the
+(training counts; 0 for what only held-out rows have). The n-grams' sums, dealt by their last three context bytes, hold
+all tree nodes below those contexts together; the nodes of two bytes of context are a table of sums, and of what is above
+the driver mixes at most 65,280 nodes. Each chunk then gets back the probabilities of its own n-grams and the counts of its own words, so nothing that grows with the
 corpus is broadcast, and no key has more rows than there are chunks. Input splits are joined while each core keeps two
 tasks, as larger chunks have fewer n-grams a byte.
 
@@ -256,58 +256,85 @@ def leaves(gram: np.ndarray, n: np.ndarray) -> tuple[Level, np.ndarray, np.ndarr
     return Level(key, n0, n1, None), place, bit
 
 
-def climb(gram: np.ndarray, n: np.ndarray, depth: int) -> tuple[list[Level], list[np.ndarray], np.ndarray, np.ndarray]:
-    """Levels `depth` down to 2, the places of each level's nodes in the next, and what leaves() says of bits."""
+def climb(gram: np.ndarray, n: np.ndarray, depth: int, least: int) -> tuple[list[Level], list[np.ndarray], np.ndarray, np.ndarray]:
+    """Levels `depth` down to `least`, the places of each level's nodes in the next, and what leaves() says of bits."""
     level, place, bit = leaves(gram, n)
     levels, ups = [level], []
-    for d in range(depth - 1, 1, -1):
+    for d in range(depth - 1, least - 1, -1):
         level, up = level.above(d)
         levels.append(level)
         ups.append(up)
     return levels, ups, place, bit
 
 
-def read_all(batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray]:
-    parts = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
-    return (np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])) if parts else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+SUMS, GRAMS_TOGETHER = "key long, n0 double, n1 double, below double", 100_000
 
 
-def log_probabilities(summed: DataFrame, depth: int) -> DataFrame:
-    """(gram, value): log10 P(byte | context) under the tree of all grams' counts. At most 65,280 rows reach the driver."""
-    dealt = summed.select("gram", "n").repartition(F.shiftright("gram", 8).bitwiseAND(F.lit(0xFFFF)))
+def sums_above(level: Level, depth: int) -> pa.Table:
+    """What a level's nodes, of `depth` bytes of context, add to those one byte of context above."""
+    key, place = np.unique(level.parents(depth - 1), return_inverse=True)
+    return pa.table([pa.array(key), *(pa.array(np.bincount(place, v, len(key))) for v in (level.n0, level.n1, level.log_w))], names=["key", "n0", "n1", "below"])
 
-    def up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gram, n = read_all(batches)
-        if len(gram):
-            levels, _, _, _ = climb(gram, n, depth)
-            one, _ = levels[-1].above(1)
-            place = np.searchsorted(one.key, levels[-1].parents(1))
-            below = np.bincount(place, levels[-1].log_w, len(one.key))
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (one.key, one.n0, one.n1, below)], ["key", "n0", "n1", "below"])
 
-    rows = map_batches(dealt, up, "key long, n0 double, n1 double, below double").groupBy("key").agg(F.sum("n0"), F.sum("n1"), F.sum("below")).collect()
-    rows.sort()
-    columns = [np.array(c) for c in zip(*rows, strict=True)] or [np.zeros(0, np.int64), *[np.zeros(0)] * 3]
-    one = Level(*columns)
+def level_of(batch: pa.RecordBatch) -> Level:
+    return Level(*(c.to_numpy(zero_copy_only=False) for c in batch.columns))
+
+
+def summed_up(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("key").agg(*[F.sum(c).alias(c) for c in ("n0", "n1", "below")])
+
+
+def log_probabilities(summed: DataFrame, depth: int, scratch: Scratch | None = None) -> DataFrame:
+    """(gram, value): log10 P(byte | context) under the tree of all grams' counts.
+
+    Grams are dealt by their last three context bytes into buckets of about `GRAMS_TOGETHER`. What is above is summed to
+    nodes of two bytes of context, a table, and of one byte, of which at most 65,280 reach the driver.
+    """
+    spark, h = summed.sparkSession, min(depth, 3)
+    scratch = scratch or Scratch(spark)
+    context = lambda n: F.shiftright("gram", 8).bitwiseAND(F.lit((1 << 8 * n) - 1))
+    buckets = summed.count() // GRAMS_TOGETHER + 1
+    dealt = summed.select("gram", "n", context(h - 1).alias("upper"), F.pmod(F.xxhash64(context(h)), F.lit(buckets)).alias("bucket"))
+
+    def up(table: pa.Table) -> pa.Table:
+        levels, _, _, _ = climb(table.column("gram").to_numpy(), table.column("n").to_numpy(), depth, h)
+        return sums_above(levels[-1], h)
+
+    def higher(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield from sums_above(level_of(batch), 2).to_batches()
+
+    nodes = scratch.keep(summed_up(dealt.groupBy("bucket").applyInArrow(lambda t: tidy_after(up, t), SUMS)), "nodes")
+    rows = (summed_up(map_batches(nodes, higher, SUMS)) if h == 3 else nodes).toArrow().sort_by("key")
+    one = Level(*(rows.column(c).to_numpy() for c in ("key", "n0", "n1", "below")))
     zero, place = one.above(0)
     mass, told = (1 - zero.stop)[place], (zero.stop * zero.one)[place]
     mass, told, keys = mass * (1 - one.stop), told + mass * one.stop * one.one, one.key
 
-    def down(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gram, n = read_all(batches)
-        if not len(gram):
-            return
-        levels, ups, place, bit = climb(gram, n, depth)
-        at = np.searchsorted(keys, levels[-1].parents(1))
-        m, t = mass[at], told[at]
+    def share(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            level = level_of(batch)
+            at = np.searchsorted(keys, level.parents(1))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(mass[at] * (1 - level.stop)), pa.array(told[at] + mass[at] * level.stop * level.one)], names=["key", "m", "t"])
+
+    given = map_batches(nodes, share, "key long, m double, t double") if h == 3 else spark.createDataFrame(pa.table({"key": keys, "m": mass, "t": told}))
+    # a bucket gets what is above its own contexts
+    needed = dealt.select(F.col("upper").alias("of"), F.col("bucket").alias("to")).distinct()
+    sent = given.join(needed, F.shiftright("key", 8) == F.col("of")).select("to", "key", "m", "t")
+
+    def down(table: pa.Table, upper: pa.Table) -> pa.Table:
+        gram = table.column("gram").to_numpy()
+        levels, ups, place, bit = climb(gram, table.column("n").to_numpy(), depth, h)
+        upper = upper.sort_by("key")
+        at = np.searchsorted(upper.column("key").to_numpy(), levels[-1].parents(h - 1))
+        m, t = (upper.column(c).to_numpy()[at] for c in "mt")
         for level, up_place in zip(levels[:0:-1], ups[::-1], strict=True):
             m, t = (m * (1 - level.stop))[up_place], (t + m * level.stop * level.one)[up_place]
         p = np.clip(t + m * levels[0].one, 1e-12, 1 - 1e-12)
         value = np.where(bit, np.log10(p)[place], np.log10(1 - p)[place]).sum(0)
-        for i in range(0, len(gram), 100_000):
-            yield pa.RecordBatch.from_arrays([pa.array(gram[i : i + 100_000]), pa.array(value[i : i + 100_000])], ["gram", "value"])
+        return pa.table({"gram": gram, "value": value})
 
-    return map_batches(dealt, down, "gram long, value double")
+    return dealt.groupBy("bucket").cogroup(sent.groupBy("to")).applyInArrow(lambda t, u: tidy_after(down, t, u), "gram long, value double")
 
 
 class Lookup:
@@ -335,8 +362,9 @@ def score_texts(docs: DataFrame, *, folds: int = 10, depth: int = DEPTH) -> Data
     cut = scratch.keep(map_batches(source, cut_chunks(depth), "chunk long, kind int, key long, n long, blob binary"), "chunks", "kind")
     chunk_grams, chunk_tokens = (cut.where(F.col("kind") == kind).select("chunk", "key", "n") for kind in (GRAM, TOKEN))
     summed = scratch.keep(chunk_grams.groupBy("key").agg(F.sum("n").alias("n")), "grams")
-    values = scratch.keep(log_probabilities(summed.withColumnRenamed("key", "gram"), depth), "values")
-    scratch.forget("grams")
+    values = scratch.keep(log_probabilities(summed.withColumnRenamed("key", "gram"), depth, scratch), "values")
+    for name in ("grams", "nodes"):
+        scratch.forget(name)
     # a word has at most one row per chunk: its sum is found where its rows meet, in one shuffle
     same = Window.partitionBy("key")
     counts = scratch.keep(chunk_tokens.select("chunk", "key", "n", F.sum("n").over(same).alias("c"), (F.min("chunk").over(same) == F.col("chunk")).alias("head")), "tokens")
