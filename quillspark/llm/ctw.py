@@ -20,7 +20,7 @@ columns, whatever their names, are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -35,7 +35,7 @@ from ..sources.tables import splits
 from .common import Scratch, as_bytes, crc_mod, map_batches, tidy_after
 from .setjoin import WordHashes
 
-DEPTH, CHUNK_BYTES, PART_BYTES, END = 5, 64 << 20, 2 << 20, b"\xff"
+DEPTH, CHUNK_BYTES, PART_BYTES, END = 5, 32 << 20, 2 << 20, b"\xff"
 CHUNKS = pa.schema([("chunk", pa.int64()), ("kind", pa.int32()), ("key", pa.int64()), ("n", pa.int64()), ("blob", pa.binary())])
 DOCS, GRAM, TOKEN = 0, 1, 2
 #: The key of the end token among those of words.
@@ -196,7 +196,7 @@ def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from blobs(held)
 
 
-def received(blobs: list[bytes], kind: type) -> tuple[np.ndarray, np.ndarray]:
+def received(blobs: Iterable[bytes], kind: type) -> tuple[np.ndarray, np.ndarray]:
     """Keys and values of some blobs."""
     keys, values = [np.zeros(0, np.int64)], [np.zeros(0, kind)]
     for blob in blobs:
@@ -378,7 +378,8 @@ def score_texts(docs: DataFrame, *, folds: int = 10, depth: int = DEPTH) -> Data
     scratch.sweep()
 
     def score(chunk: pa.Table) -> pa.Table:
-        blobs = lambda kind: chunk.filter(pc.equal(chunk.column("kind"), kind)).column("blob").to_pylist()
+        kinds, column = chunk.column("kind").to_pylist(), chunk.column("blob")
+        blobs = lambda kind: (column[i].as_py() for i, k in enumerate(kinds) if k == kind)
         logs, known = Lookup(*received(blobs(GRAM), np.float32)), Lookup(*received(blobs(TOKEN), np.int64))
         end = known(np.array([END_KEY]))[0]
         out = []
