@@ -4,8 +4,9 @@ toxicity drops documents that score 0.5 or more; line dedup drops lines found in
 one document of each group with a similarity of 0.8 or more in five-word shingles; mixing takes each source as often as
 its target asks; packing cuts all of it into sequences.
 
-Near-dedup joins on blocks and prefixes of the shingle sets and verifies the Jaccard similarity itself, in place of
-SimHash, whose fingerprints of two documents with a similarity of 0.8 differ in about ten bits of 64.
+Near-dedup joins SimHash fingerprints of the shingle sets on pigeonhole blocks, verifies them by Hamming distance and what
+they link by the Jaccard similarity. As two documents with a similarity of 0.8 differ in about ten bits of 64, what that
+leaves apart is joined on blocks and prefixes of the sets themselves, so that no pair of that similarity is lost.
 
 Nulls in any column, empty and very long texts, ties, repeated rows and empty tables go through all stages (each says
 what it makes of them), as do other columns, whatever their names: all but the last stage return the columns they got.

@@ -1,11 +1,16 @@
-"""Near duplicates by shingle similarity: the stage that needs a Jaccard similarity of 0.8, which no Hamming distance of
-64-bit fingerprints can promise (at 0.8 two SimHash fingerprints differ in about ten bits).
+"""Near duplicates by SimHash and shingle similarity, for groups with a Jaccard similarity of 0.8.
 
-The pigeonhole idea of `simhash` is applied to the set of shingles itself. A set is cut into blocks by hash; sets that are
-close share whole blocks, are joined on them and verified. This finds most links at a low price: in a block of more than
-`SMALL` sets all are compared with a few hubs only, those whose blocks are shared most, in one round.
+SimHash comes first: each different set of shingles has a fingerprint (64 bits, each the majority of its shingles' hashes),
+fingerprints are joined on pigeonhole blocks and verified by their Hamming distance of at most two bits, as in `simhash`,
+and what they link is verified by the similarity of the sets. No Hamming distance of 64 bits can promise all sets with a
+similarity of 0.8, though: there two fingerprints differ in about ten bits.
 
-What it leaves apart is then joined exactly. In any fixed order of shingles, two sets with a similarity s share one of
+So the pigeonhole idea is then applied to the set of shingles itself. A set is cut into blocks by hash; sets that are
+close share whole blocks, are joined on them and verified, unless they are of one group by now. This finds most other
+links at a low price: in a block of more than `SMALL` sets all are compared with a few hubs only, those whose blocks are
+shared most, in one round.
+
+What both leave apart is then joined exactly. In any fixed order of shingles, two sets with a similarity s share one of
 the first n - ceil(s n) + 1 shingles of each (the prefix filter), so groups not linked yet meet at the shingles of their
 prefixes. The order puts shingles that very many sets have last, so that a passage or template that many documents share
 brings nobody together unless a document hardly says anything else. The groups are those of all pairs. The number of
@@ -32,6 +37,7 @@ from pyspark.sql import functions as F
 
 from .common import LOWER, Scratch, as_bytes, join_copies, map_batches, map_rows
 from .components import components
+from .simhash import fingerprint, hamming_links, signed
 
 SEGMENT, BASE = 1 << 19, 0x9E3779B97F4A7C15
 PICKED, SMALL, CLASSES = 16, 8, 4
@@ -230,6 +236,12 @@ def map_sets(docs: DataFrame, fn, schema: str, *, shingle: int, columns: int) ->
     return map_rows(docs, run, schema, binary=(docs.columns[columns],))
 
 
+def between(pairs: DataFrame, found: DataFrame) -> DataFrame:
+    """Those of some pairs (a, b) that are of different groups."""
+    group = lambda side: found.select(F.col("node").alias(side), F.col("component").alias(f"of_{side}"))
+    return pairs.join(group("a"), "a", "left").join(group("b"), "b", "left").where("coalesce(of_a, a) <> coalesce(of_b, b)").select("a", "b")
+
+
 class Join:
     """The steps of one similarity join; tables that later steps read are written to the shared folder."""
 
@@ -242,12 +254,12 @@ class Join:
         """`rows`: the set of every row, named by its hash. `nodes`: each different set, with the least row that has it."""
 
         def row(doc_id, digest, found):
-            return doc_id, digest, xxhash.xxh3_64_intdigest(found.tobytes()) >> 1, len(found), set_blocks(found), folded(sketch(found), SKETCH_BITS // 8).tobytes()
+            return doc_id, digest, xxhash.xxh3_64_intdigest(found.tobytes()) >> 1, len(found), set_blocks(found), folded(sketch(found), SKETCH_BITS // 8).tobytes(), signed(fingerprint(found))
 
         keep = self.scratch.keep
-        self.rows = keep(map_sets(self.source, row, "doc_id long, digest long, node long, n int, keys array<long>, sketch binary", shingle=self.shingle, columns=2), "sets")
-        first = self.rows.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest", "n", "keys", "sketch")).alias("r"), F.count("*").alias("copies"))
-        self.nodes = keep(first.select("node", "r.doc_id", "r.digest", "r.n", "r.keys", "r.sketch", "copies"), "nodes")
+        self.rows = keep(map_sets(self.source, row, "doc_id long, digest long, node long, n int, keys array<long>, sketch binary, fp long", shingle=self.shingle, columns=2), "sets")
+        first = self.rows.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest", "n", "keys", "sketch", "fp")).alias("r"), F.count("*").alias("copies"))
+        self.nodes = keep(first.select("node", "r.doc_id", "r.digest", "r.n", "r.keys", "r.sketch", "r.fp", "copies"), "nodes")
 
     def sets_of(self, pairs: DataFrame) -> DataFrame:
         """The sets of all nodes of some pairs."""
@@ -273,17 +285,9 @@ class Join:
             self.scratch.forget(name)
         return links
 
-    def by_blocks(self) -> DataFrame:
-        """Links of sets that share a block: all pairs of small blocks, and of larger ones the pairs with a hub."""
-        keep, least = self.scratch.keep, self.least
-        keyed = self.nodes.select("node", F.explode("keys").alias("key"))
-        shared = keep(keyed.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "shared")
-        blocks = keep(keyed.join(shared, "key"), "blocks")
-        weight = keep(blocks.groupBy("node").agg(F.sum("size").alias("popular")), "popular")
-        # one hub from each of some hash classes of a block, and all sets of a small one: partial maxima, whatever the block's size
-        spread = F.when(F.col("size") <= SMALL, F.col("node")).otherwise(F.pmod(F.xxhash64("node"), F.lit(CLASSES)))
-        hubs = keep(blocks.join(weight, "node").groupBy("key", spread.alias("class")).agg(F.max_by("node", F.struct("popular", -F.col("node"))).alias("hub")).select("key", "hub"), "hubs")
-        pairs = blocks.join(hubs, "key").where("node <> hub").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
+    def likely(self, pairs: DataFrame) -> DataFrame:
+        """Those of some pairs whose sizes and sketches allow the similarity, stored."""
+        least = self.least
 
         def run(some: Iterator[tuple]) -> Iterator[tuple]:
             for a, b, n, m, x, y in some:
@@ -292,7 +296,31 @@ class Join:
 
         left, right = (self.nodes.select(F.col("node").alias(side), F.col("n").alias(n), F.col("sketch").alias(of)) for side, n, of in (("a", "n", "x"), ("b", "m", "y")))
         sizes = F.least("n", "m") >= F.lit(least) * F.greatest("n", "m") - 1e-9
-        pairs = keep(map_rows(pairs.join(left, "a").join(right, "b").where(sizes).select("a", "b", "n", "m", "x", "y"), run, "a long, b long"), "pairs")
+        return self.scratch.keep(map_rows(pairs.join(left, "a").join(right, "b").where(sizes).select("a", "b", "n", "m", "x", "y"), run, "a long, b long"), "pairs")
+
+    def by_fingerprints(self) -> DataFrame:
+        """Links of sets whose fingerprints differ in two bits or fewer: of one fingerprint's sets each with the least, which stand for it."""
+        marked = self.nodes.select("node", "fp")
+        distinct = self.scratch.keep(marked.groupBy("fp").agg(F.min("node").alias("least"), F.count("*").alias("copies")), "fps")
+        same = join_copies(marked, distinct, "fp").where("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b"))
+        near = hamming_links(distinct.select(F.col("least").alias("node"), "fp"), self.scratch)
+        pairs = self.likely(same.unionByName(near).distinct())
+        for name in ("fps", "shared", "met"):
+            self.scratch.forget(name)
+        return self.verified(pairs)
+
+    def by_blocks(self, found: DataFrame | None = None) -> DataFrame:
+        """Links of sets that share a block: all pairs of small blocks, and of larger ones the pairs with a hub; none within a group in `found`."""
+        keep = self.scratch.keep
+        keyed = self.nodes.select("node", F.explode("keys").alias("key"))
+        shared = keep(keyed.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "shared")
+        blocks = keep(keyed.join(shared, "key"), "blocks")
+        weight = keep(blocks.groupBy("node").agg(F.sum("size").alias("popular")), "popular")
+        # one hub from each of some hash classes of a block, and all sets of a small one: partial maxima, whatever the block's size
+        spread = F.when(F.col("size") <= SMALL, F.col("node")).otherwise(F.pmod(F.xxhash64("node"), F.lit(CLASSES)))
+        hubs = keep(blocks.join(weight, "node").groupBy("key", spread.alias("class")).agg(F.max_by("node", F.struct("popular", -F.col("node"))).alias("hub")).select("key", "hub"), "hubs")
+        pairs = blocks.join(hubs, "key").where("node <> hub").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
+        pairs = self.likely(pairs if found is None else between(pairs, found))
         for name in ("shared", "blocks", "popular", "hubs"):
             self.scratch.forget(name)
         return self.verified(pairs)
@@ -391,16 +419,15 @@ class Join:
     def groups(self) -> DataFrame:
         """(node, component) of the nodes that have links."""
         keep = self.scratch.keep
-        found = keep(components(self.by_blocks(), self.scratch), "groups")
+        found = keep(components(self.by_fingerprints(), self.scratch), "groups")
+        found = self.joined(found, self.by_blocks(found))
         far = self.apart(found)
         if far.isEmpty():
             return found
         # each one's nearest first: after that few pairs are of different groups
         closest = keep(far.groupBy("a").agg(F.min_by("b", F.struct("h", "b")).alias("b")).unionByName(far.groupBy("b").agg(F.min_by("a", F.struct("h", "a")).alias("a")).select("a", "b")).distinct(), "closest")
         found = self.joined(found, self.verified(closest))
-        group = lambda side: found.select(F.col("node").alias(side), F.col("component").alias(f"of_{side}"))
-        left = far.join(closest, ["a", "b"], "left_anti").join(group("a"), "a", "left").join(group("b"), "b", "left")
-        left = keep(left.where("coalesce(of_a, a) <> coalesce(of_b, b)").select("a", "b"), "left")
+        left = keep(between(far.join(closest, ["a", "b"], "left_anti"), found), "left")
         return found if left.isEmpty() else self.joined(found, self.verified(left))
 
     def joined(self, found: DataFrame, links: DataFrame) -> DataFrame:

@@ -82,3 +82,12 @@ def test_one_row_of_each_group(spark, sf_dir):
     rows = [(3, a), (3, a), (5, a), (None, a), (None, f"{a} more"), (None, b), (None, b), (2, f"{c} more"), (2, c), (9, c), (4, "else")]
     got = corpus_pipeline.drop_near_copies(spark, spark.createDataFrame(rows, "doc_id long, text string"), sf_dir).collect()
     assert sorted((r.doc_id or 0, r.text[:2]) for r in got) == [(0, "b0"), (2, "c0"), (3, "a0"), (4, "el")]
+
+
+def test_near_dedup_compares_fingerprints(spark, sf_dir, monkeypatch):
+    """The stage joins SimHash fingerprints on their blocks and verifies them by Hamming distance."""
+    given, pairing = [], setjoin.hamming_links
+    monkeypatch.setattr(setjoin, "hamming_links", lambda df, scratch: given.append(df.count()) or pairing(df, scratch))
+    docs = queries.table(spark, sf_dir, "documents")
+    assert corpus_pipeline.drop_near_copies(spark, docs, sf_dir).count() <= docs.count()
+    assert len(given) == 1 and given[0] > 1

@@ -55,6 +55,32 @@ def test_near_duplicates_of_one_base(spark):
     assert {r.component_id for r in got} == {0}
 
 
+def test_fingerprints_link_first(spark):
+    """Long texts with few words changed are linked by SimHash, those with more by what follows, and none that are not alike."""
+    rng = np.random.default_rng(12)
+    rows = []
+    for i in range(30):
+        base = [f"b{i}x{k}" for k in range(600)]
+        for changed in (0, 1, 1, 2, 2, 12, 12, 40):
+            w = list(base)
+            for at in rng.choice(600, changed, replace=False):
+                w[at] = f"e{rng.integers(1 << 40)}"
+            rows.append((len(rows), " ".join(w)))
+    join = setjoin.Join(spark.createDataFrame(rows, "doc_id long, text string"), 5, 0.8)
+    join.describe()
+    of = {r.node: r.doc_id for r in join.nodes.collect()}
+    links = [(of[r.a], of[r.b]) for r in join.by_fingerprints().collect()]
+    hashed = list(setjoin.shingle_sets([t.encode() for _, t in rows], 5))
+    fp = [sum(1 << i for i in range(64) if 2 * sum(h >> i & 1 for h in found.tolist()) > len(found)) for found in hashed]
+    sets = [brute_set(t) for _, t in rows]
+    alike = lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
+    near = [(a, b) for a, b in combinations(range(len(rows)), 2) if (fp[a] ^ fp[b]).bit_count() <= 2 and alike(a, b)]
+    assert links and all((fp[a] ^ fp[b]).bit_count() <= 2 and alike(a, b) for a, b in links)
+    by_simhash, every = roots(range(len(rows)), near), all_pairs(rows)
+    assert roots(range(len(rows)), links) == by_simhash != every
+    assert {r.doc_id: r.component_id for r in setjoin.near_duplicates(join.source).collect()} == every
+
+
 def test_near_duplicates_awkward(docs, no_docs):
     got = setjoin.near_duplicates(docs).toPandas()
     assert len(got) == 10 and setjoin.near_duplicates(no_docs).count() == 0
