@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..operators import abbrev, parse
 from ..options import MATRIX, Options
 from ..sources.files import read_ordered_csv, read_text, read_titles, sentence_cased, write_golden, write_ordered_csv
-from ..sources.tables import table
+from ..sources.tables import dealt
 from .render import ACCENTED, accented, braced, documents, entry, escaped
 from .shared import folder
 
@@ -34,6 +34,14 @@ def query(sql: str | None):
     return add
 
 
+def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return dealt(read(spark, sf_dir, name))
+
+
 def key(prefix: str, column: str) -> Column:
     return F.concat(F.lit(prefix), F.col(column).cast("string"))
 

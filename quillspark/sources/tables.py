@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Smaller tables are not worth a shuffle.
 LEAST_BYTES = 256 << 10
+#: Of a table as it lies compressed, what one task of narrow Python work is given.
+TASK_BYTES = 4 << 20
 
 
 def splits(df: DataFrame) -> int | None:
@@ -24,5 +26,17 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if size >= LEAST_BYTES else df
 
 
+def dealt(df: DataFrame, of: DataFrame | None = None) -> DataFrame:
+    """The rows in tasks of a bounded share of the table `of` (of their own, if none is given), however it lies in files and row groups.
+
+    A split reads whole row groups, and joins are coalesced to as many tasks as cores: so some tasks have all rows, or each grows with the table.
+    """
+    of = df if of is None else of
+    if of.isStreaming:
+        return df
+    size, cores = int(str(of._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())), df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(max(cores, -(-size // TASK_BYTES))) if size >= LEAST_BYTES else df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
