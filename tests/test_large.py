@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from quillspark.functions import casing
+from quillspark.functions import casing, grammar
 from quillspark.plans import registry
 from quillspark.sources import tables
 
@@ -24,3 +24,15 @@ def test_one_row_group_of_many_splits_is_dealt_evenly(spark, tmp_path, monkeypat
 
 def test_a_first_letter_that_becomes_two_moves_no_other():
     assert casing.to_sentence_case("On İx Yield", guess=False) == "On i̇x yield"
+
+
+def test_plain_entries_are_read_without_a_walk_over_their_braces(monkeypatch):
+    text = "@article{l1.2,\n  pages = {3--4}, year = 1990, note = \"a, b\", title = {A {B {C}} \\} d},,\n}\n% tail\n"
+    walked = grammar.Chunk("entry", text[:-1], "article", "l1.2", (("pages", (("brace", "3--4"),)), ("year", (("number", "1990"),)), ("note", (("quote", "a, b"),)), ("title", (("brace", "A {B {C}} \\} d"),))))
+    assert grammar.chunks(text) == [walked]
+    monkeypatch.setattr(grammar, "plain_body", lambda *_: None)
+    assert grammar.chunks(text) == [walked]
+    monkeypatch.undo()
+    monkeypatch.setattr(grammar, "body_fields", None)
+    monkeypatch.setattr(grammar, "group_end", None)
+    assert grammar.chunks(text) == [walked]
