@@ -297,8 +297,8 @@ def abbrev_amendments(spark, sf_dir):
     "SELECT 'o' || o_orderkey::VARCHAR AS citekey, 'note' AS name, c_mktsegment AS value FROM orders JOIN customer ON o_custkey = c_custkey UNION ALL SELECT 'o' || o_orderkey::VARCHAR, 'year', o_orderstatus FROM orders JOIN customer ON o_custkey = c_custkey"
 )
 def crossref_lookup(spark, sf_dir):
-    orders, customer = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
-    rows = orders.join(customer, orders.o_custkey == customer.c_custkey)
+    orders, customer = read(spark, sf_dir, "orders"), read(spark, sf_dir, "customer")
+    rows = dealt(orders.join(customer, orders.o_custkey == customer.c_custkey).select("o_orderkey", "o_custkey", "o_orderstatus", "c_mktsegment"), orders)
     parent = entry("book", key("C", "o_custkey"), {"note": braced(F.col("c_mktsegment")), "year": F.lit("{9}")})
     text = F.concat(entry("inbook", key("o", "o_orderkey"), {"crossref": braced(key("c", "o_custkey")), "year": braced(F.col("o_orderstatus"))}), parent)
     long = fields_of(documents(rows, F.col("o_orderkey"), text), Options(sentencecase="off", inherit=True))

@@ -36,3 +36,17 @@ def test_plain_entries_are_read_without_a_walk_over_their_braces(monkeypatch):
     monkeypatch.setattr(grammar, "body_fields", None)
     monkeypatch.setattr(grammar, "group_end", None)
     assert grammar.chunks(text) == [walked]
+
+
+def test_a_join_is_dealt_by_the_larger_table(spark, tmp_path, monkeypatch):
+    orders = spark.range(0, 50_000, 1, 1).selectExpr("id o_orderkey", "id % 5 o_custkey", "'O' o_orderstatus")
+    orders.write.parquet(str(tmp_path / "orders.parquet"))
+    spark.range(0, 5, 1, 1).selectExpr("id c_custkey", "'B' c_mktsegment").write.parquet(str(tmp_path / "customer.parquet"))
+    monkeypatch.setattr(tables, "LEAST_BYTES", 1)
+    monkeypatch.setattr(tables, "TASK_BYTES", 16 << 10)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = sizes(registry.crossref_lookup(spark, str(tmp_path)))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert len(got) > spark.sparkContext.defaultParallelism and sum(got) == 100_000 and max(got) < 2 * min(got)
