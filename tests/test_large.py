@@ -1,8 +1,9 @@
 """What keeps tasks, time a row and memory bounded when tables grow."""
 
+import pytest
 from pyspark.sql import functions as F
 
-from quillspark.functions import casing, grammar
+from quillspark.functions import casing, grammar, latex
 from quillspark.plans import registry
 from quillspark.sources import tables
 
@@ -50,3 +51,15 @@ def test_a_join_is_dealt_by_the_larger_table(spark, tmp_path, monkeypatch):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert len(got) > spark.sparkContext.defaultParallelism and sum(got) == 100_000 and max(got) < 2 * min(got)
+
+
+@pytest.mark.parametrize("raw, want", [
+    ("na{\\\"i}ve  caf{\\'e}\n-{}-{} 5\\% \\{x\\} ga{\\c c}on Stra{\\ss}e -- ``q'' a\\textbackslash{}b\\textasciitilde{}~{Kept}", "naïve café -- 5% {x} gaçon Straße – “q” a\\b~ Kept"),
+])
+def test_escapes_and_accents_are_read_without_pieces(monkeypatch, raw, want):
+    assert "".join(p.text for p in latex.collapse(latex.decode(raw))) == want
+    assert latex.to_text(raw) == want
+    monkeypatch.setattr(latex, "collapse", None)
+    assert latex.to_text(raw) == want
+    monkeypatch.undo()
+    assert latex.to_text("{ {\\em a} {\\ss}b} {") == "<i>a</i> ßb"  # a switch asks for pieces
