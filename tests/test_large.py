@@ -1,9 +1,12 @@
 """What keeps tasks, time a row and memory bounded when tables grow."""
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from quillspark.functions import casing, grammar, latex
+from quillspark.operators import parse
+from quillspark.options import Options
 from quillspark.plans import registry
 from quillspark.sources import tables
 
@@ -63,3 +66,35 @@ def test_escapes_and_accents_are_read_without_pieces(monkeypatch, raw, want):
     assert latex.to_text(raw) == want
     monkeypatch.undo()
     assert latex.to_text("{ {\\em a} {\\ss}b} {") == "<i>a</i> ßb"  # a switch asks for pieces
+
+
+def test_a_batch_becomes_python_values_in_small_parts(spark):
+    class Docs:
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, run, schema):  # noqa: N802
+            return run
+
+    class Column:
+        def __init__(self, column):
+            self.column = column
+
+        def to_pylist(self):
+            assert len(self.column) <= 256
+            return self.column.to_pylist()
+
+    class Batch:
+        def __init__(self, batch):
+            self.batch, self.num_rows = batch, batch.num_rows
+
+        def slice(self, *span):
+            return Batch(self.batch.slice(*span))
+
+        def column(self, n):
+            return Column(self.batch.column(n))
+
+    whole = pa.RecordBatch.from_pydict({"doc_id": [str(i) for i in range(1000)], "text": ["x"] * 999 + [None]})
+    run = parse._mapped(Docs(), "doc_id string, text string", lambda d, t: [(d, t)])
+    out = [r for b in run(iter([Batch(whole)])) for r in b.to_pylist()]
+    assert out == [{"doc_id": str(i), "text": "x" if i < 999 else ""} for i in range(1000)]
