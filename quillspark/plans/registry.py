@@ -253,7 +253,7 @@ def chunk_kinds(spark, sf_dir):
 
 @query("SELECT o_orderkey::VARCHAR AS doc_id, 'about ' || o_orderkey::VARCHAR AS line, ' \"\\\\def\\\\x{' || o_orderkey::VARCHAR || '}\" ' AS preamble FROM orders")
 def comments_preambles(spark, sf_dir):
-    return parse.parse_bibtex(mixed_docs(spark, sf_dir), OFF).select("doc_id", F.element_at("comments", 1).alias("line"), F.element_at("preamble", 1).alias("preamble"))
+    return parse.parse_bibtex(mixed_docs(spark, sf_dir), OFF, ("comments", "preamble")).select("doc_id", F.element_at("comments", 1).alias("line"), F.element_at("preamble", 1).alias("preamble"))
 
 
 @query("SELECT 'type_' || lower(o_orderstatus) AS type, count(*) AS n FROM orders GROUP BY 1")

@@ -98,3 +98,12 @@ def test_a_batch_becomes_python_values_in_small_parts(spark):
     run = parse._mapped(Docs(), "doc_id string, text string", lambda d, t: [(d, t)])
     out = [r for b in run(iter([Batch(whole)])) for r in b.to_pylist()]
     assert out == [{"doc_id": str(i), "text": "x" if i < 999 else ""} for i in range(1000)]
+
+
+def test_a_record_has_the_columns_asked_for(spark):
+    text = "@comment about 1\n@preamble{\"x\"}\n@string{a = {b}}\n@misc{k, note = {\\nosuch}, title = a # c}\n"
+    docs = spark.createDataFrame([("1", text)], "doc_id string, text string")
+    whole = parse.parse_bibtex(docs, Options())
+    for asked in (("comments", "preamble"), ("strings", "jabref"), ("errors", "fatal"), ("entries",)):
+        some = parse.parse_bibtex(docs, Options(), asked)
+        assert some.columns == ["doc_id", *asked] and some.collect() == whole.select("doc_id", *asked).collect()
